@@ -28,6 +28,18 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(media_files(table(spark, sf_dir, "documents")))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanefold.llm.secret_scan import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanefold.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vanefold.llm.fingerprints import edited_fingerprints
 
@@ -38,6 +50,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op5_media_columns": op5_media_columns,
+        "op8_secret_scans": op8_secret_scans,
+        "op9_packing": op9_packing,
         "op10_document_fingerprints": op10_document_fingerprints,
     }
 

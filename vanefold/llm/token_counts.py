@@ -52,6 +52,7 @@ class TokenCounter:
         self.shortcut = bool(plain) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
         self.pattern = regex.compile(PRE_TOKEN)
+        self.model, self.table = self.library.model, {b: c for c, b in byte_alphabet().items()}
         self.whole = self._proven() if self.shortcut else {}
         self.known = dict(self.whole)
 
@@ -75,8 +76,8 @@ class TokenCounter:
         if len(self.known) + len(new) > REMEMBERED:
             self.known = dict(self.whole)
             new = [p for p in pieces if p not in self.known]
-        for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[p] = len(e.ids)
+        for p in new:
+            self.known[p] = len(self.model.tokenize(p.encode().decode("latin-1").translate(self.table)))
 
     def counts(self, texts: list[str]) -> list[int]:
         if not self.shortcut:

@@ -22,12 +22,30 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanefold.llm.quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vanefold.llm.media import media_features, media_files
 
     return media_features(media_files(table(spark, sf_dir, "documents")))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanefold.llm.pieces import report
+
+    return report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanefold.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vanefold.llm.secret_scan import secret_report
 
@@ -49,7 +67,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_media_columns": op5_media_columns,
+        "op6_sentencepiece": op6_sentencepiece,
+        "op7_html_extraction": op7_html_extraction,
         "op8_secret_scans": op8_secret_scans,
         "op9_packing": op9_packing,
         "op10_document_fingerprints": op10_document_fingerprints,

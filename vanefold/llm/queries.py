@@ -22,6 +22,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanefold.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vanefold.llm.quality import quality_report
 
@@ -67,6 +73,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_media_columns": op5_media_columns,
         "op6_sentencepiece": op6_sentencepiece,

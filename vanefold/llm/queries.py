@@ -28,6 +28,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vanefold.llm.suffix_dedup import dedup_report
+
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vanefold.llm.quality import quality_report
 
@@ -74,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_media_columns": op5_media_columns,
         "op6_sentencepiece": op6_sentencepiece,

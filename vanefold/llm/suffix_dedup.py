@@ -130,7 +130,7 @@ def matched(contexts: DataFrame, window: int = WINDOW) -> DataFrame:
 def repeated_runs(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """(id, th, runs): the bytes of each text to remove, as flat (start, end) pairs in no order."""
     spark = keyed.sparkSession
-    rows = anchored(keyed, window).repartition("kmer")
+    rows = written(anchored(keyed, window), spark).repartition("kmer")
     counts = rows.groupBy("kmer", "context").agg(F.count("*").alias("n"))
     kinds = counts.groupBy("kmer").agg(F.sum("n").alias("total"), F.count("*").alias("variants")).filter("total > 1")
     per = counts.join(kinds.select("kmer", "variants"), "kmer")

@@ -180,6 +180,36 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text").mapInArrow(run, "a long, b long")
 
 
+def placed(shared: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, root) and, of the keys whose members lie in several components, (key, least member and its root)."""
+    rows = shared.withColumn("root", F.col("doc_id")) if roots is None else shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    keys = rows.groupBy("key").agg(F.min(F.struct("doc_id", "root")).alias("l"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
+    return rows, keys.select("key", F.col("l.doc_id").alias("least"), F.col("l.root").alias("least_root"))
+
+
+def stars(shared: DataFrame, roots: DataFrame | None, tested: DataFrame | None, best: bool) -> DataFrame:
+    """Pairs (a, b), not tested yet, of each key's least member and its members in other components.
+
+    With best, each b has only the a with which it shares the most keys, so that a group of near copies, whose keys
+    have many different least members, makes as many pairs as it has members.
+    """
+    rows, keys = placed(shared, roots)
+    pairs = rows.join(keys, "key").filter("root != least_root").groupBy(F.col("least").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("k"))
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    if best:
+        pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a"))
+    return written(pairs.select("a", "b"), shared.sparkSession)
+
+
+def crossing(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of members of one key, neither its least, that lie in different components and have sizes that can link."""
+    rows, keys = placed(shared, roots)
+    rest = rows.join(keys, "key").filter("doc_id != least").join(sets.select("doc_id", "n_shingles"), "doc_id")
+    left, right = (rest.select("key", F.col("doc_id").alias(x), F.col("root").alias(f"root_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in ("a", "b"))
+    return left.join(right, "key").filter("root_a != root_b and a < b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id): component_id is the least id that links reach, class_id that of equal sets."""
     spark = docs.sparkSession
@@ -197,20 +227,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rep_sets = full.join(out, "doc_id", "left_anti").dropDuplicates(["doc_id"])
 
     rows = indexed(reps).repartition("key")
-    groups = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).filter("least != most")
-    shared = written(rows.join(groups, "key").select("key", "doc_id", "least", "n"), spark)
-    star = shared.filter("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = written(verified(possible(star, rep_sets), reps), spark)
-    equal = copies.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-    roots = written(components(first), spark)
-
-    # what is left: members of one group, neither its least, in different components
-    placed = shared.filter("n > 2 and doc_id != least").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    rest = placed.join(open_keys, "key").join(rep_sets.select("doc_id", "n_shingles"), "doc_id")
-    left, right = (rest.select("key", F.col("doc_id").alias(x), F.col("root").alias(f"root_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in ("a", "b"))
-    more = left.join(right, "key").filter("root_a != root_b and a < b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b").distinct()
+    groups = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least != most")
+    shared = written(rows.join(groups.select("key"), "key").select("key", "doc_id"), spark)
+    links, tested, roots = None, None, None
+    for best in (True, True, False):
+        pairs = stars(shared, roots, tested, best)
+        found = written(verified(possible(pairs, rep_sets), reps), spark)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+    more = crossing(shared, roots, rep_sets)
     second = written(verified(possible(more, rep_sets), reps), spark)
+    equal = copies.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second).unionByName(equal))
     return (
         sets.join(copies.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "doc_id", "left")

@@ -5,12 +5,13 @@ fall into bands that double. A pair belongs to the band of its larger set, so a
 the next one if it can be the smaller of a pair there.
 
 Within a band, hashes cut the universe into m segments, so a set is m subsets. At most H of them differ in a linked
-pair, hence both sets share one of their first H + 1 subsets in any common order (prefix principle); the order puts
-large subsets first, which few sets share, and empty ones last. A band may instead take half as many segments, with
-every subset and all its one-deletion neighbours as keys, as one of (H + 1) / 2 segments differs by one element at
-most. `allocation` takes whichever costs less under a model of rows and expected collisions.
+pair, hence both sets share one of their first H + 1 subsets in any common order (prefix principle). The order is by
+how many sets have a subset, rare ones first: a set forgets its m - H - 1 most frequent subsets, so passages that very
+many documents share make no candidates by themselves. A band may instead take half as many segments, with every
+subset and all its one-deletion neighbours as keys, as one of (H + 1) / 2 segments differs by one element at most.
+`allocation` takes whichever costs less under a model of rows and expected collisions.
 
-Sets with equal digests are one class first. In each group of equal keys, candidates are the group's least id with each
+Sets with equal digests are one class first. In each group of equal keys, candidates are the group's hub with each
 other member, never all pairs. What is verified exactly (sizes, then a parity sketch that bounds the difference from
 below, then the shingles themselves) gives components; only members of one group in different components make further
 candidates, as all other pairs cannot change a component.
@@ -26,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -67,33 +68,27 @@ def allocation(band: int) -> tuple[int, bool]:
     return (half, True) if cost_half < cost else (exact, False)
 
 
-def keys_in(band: int, s: np.ndarray) -> np.ndarray:
-    """The keys of a sorted set of hashes in a band."""
+def keys_in(band: int, s: np.ndarray) -> tuple[np.ndarray, int]:
+    """The keys of a sorted set of hashes in a band, and how many of them, the most frequent, it may forget."""
     m, deletions = allocation(band)
     seg = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
     salt = mix(np.arange(m, dtype=np.uint64) + np.uint64((band + 1) << 40))
     token = mix(s ^ np.uint64(0xA5A5A5A5DEADBEEF))
-    count = np.bincount(seg, minlength=m)
     total = np.zeros(m, dtype=np.uint64)
     first = np.flatnonzero(np.diff(seg, prepend=-1))
     total[seg[first]] = np.add.reduceat(token, first)
     if deletions:
-        return np.concatenate([mix(total + salt), mix(total[seg] - token + salt[seg])])
-    key = mix(total + salt)
-    h = most_different(len(s), band)
-    return key[np.lexsort((key, -count))[: h + 1]]
+        return np.unique(np.concatenate([mix(total + salt), mix(total[seg] - token + salt[seg])])), 0
+    return mix(total + salt), max(0, m - most_different(len(s), band) - 1)
 
 
-def keys_of(s: np.ndarray) -> np.ndarray:
-    """All keys under which a set is indexed."""
+def keys_of(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """The keys under which a set is indexed, with what it may forget of them, for its own band and the next one."""
     n = len(s)
     if not n:
-        return np.zeros(0, dtype=np.uint64)
+        return []
     band = band_of(n)
-    out = keys_in(band, s)
-    if n * 5 // 4 >= bounds(band + 1)[0]:
-        out = np.concatenate([out, keys_in(band + 1, s)])
-    return np.unique(out)
+    return [keys_in(b, s) for b in (band, band + 1) if b == band or n * 5 // 4 >= bounds(b)[0]]
 
 
 def sketch_of(s: np.ndarray) -> np.ndarray:
@@ -138,27 +133,54 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def indexed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id) of all keys."""
+    """(key, doc_id, tag) of all keys; tag is twice the number of keys that may be forgotten, plus 1 in the next band."""
     limit_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
-            keys = [keys_of(s) for s in shingle_sets(b.column("text").to_pylist())]
-            ids = np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), [len(k) for k in keys])
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            found = [(k, i, spare * 2 + up) for i, s in zip(ids, shingle_sets(b.column("text").to_pylist()), strict=True) for up, (k, spare) in enumerate(keys_of(s))]
+            if not found:
+                continue
+            flat = np.concatenate([k for k, _, _ in found]).view(np.int64)
+            n = [len(k) for k, _, _ in found]
+            owner, tag = np.repeat([i for _, i, _ in found], n), np.repeat([t for _, _, t in found], n)
             for at in range(0, len(flat), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + 200_000]), pa.array(ids[at : at + 200_000], pa.int64())], names=["key", "doc_id"])
+                part = slice(at, at + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(flat[part]), pa.array(owner[part], pa.int64()), pa.array(tag[part], pa.int32())], names=["key", "doc_id", "tag"])
 
-    return docs.mapInArrow(run, "key long, doc_id long")
+    return docs.mapInArrow(run, "key long, doc_id long, tag int")
+
+
+def sharing(rows: DataFrame) -> DataFrame:
+    """(key, doc_id, centre) of the keys that several documents have, without those that a document may forget.
+
+    centre is the sum of the frequencies of a document's keys: the greatest of a group of near copies is the copy that
+    is nearest to all others.
+
+    Keys of one document come first in the order by frequency, so what may be forgotten is among the shared ones. Of a
+    document whose id comes with several texts, fewer are forgotten.
+    """
+    rows = rows.repartition("key")
+    groups = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).filter("least != most")
+    shared = rows.join(groups.select("key", "n"), "key")
+    each = Window.partitionBy("doc_id", F.col("tag") % 2)
+    placed_keys = shared.withColumn("place", F.row_number().over(each.orderBy(F.desc("n"), "key"))).withColumn("centre", F.sum("n").over(each))
+    return placed_keys.filter(F.col("place") > F.floor(F.col("tag") / 2)).select("key", "doc_id", "centre")
+
+
+def may_link() -> Column:
+    """Whether sizes n_a, n_b and sketches s_a, s_b do not rule a link out."""
+    bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+    size = (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (F.least("n_a", "n_b") > 0)
+    return size & (9 * bits <= F.col("n_a") + F.col("n_b"))
 
 
 def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and sketches do not rule out."""
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
-    bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
-    size = (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (F.least("n_a", "n_b") > 0)
-    return pairs.filter(size & (9 * bits <= F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+    return pairs.filter(may_link()).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -181,20 +203,22 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def placed(shared: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(key, doc_id, root) and, of the keys whose members lie in several components, (key, least member and its root)."""
-    rows = shared.withColumn("root", F.col("doc_id")) if roots is None else shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    keys = rows.groupBy("key").agg(F.min(F.struct("doc_id", "root")).alias("l"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-    return rows, keys.select("key", F.col("l.doc_id").alias("least"), F.col("l.root").alias("least_root"))
+    """(key, doc_id, root) and, of the keys whose members lie in several components, (key, hub, hub_root): the most central member, the least of equals."""
+    root = F.col("doc_id").alias("root") if roots is None else F.coalesce("root", "doc_id").alias("root")
+    rows = shared if roots is None else shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    rows = rows.select("key", "doc_id", "centre", root)
+    keys = rows.groupBy("key").agg(F.max_by(F.struct("doc_id", "root"), F.struct("centre", -F.col("doc_id"))).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
+    return rows.select("key", "doc_id", "root"), keys.select("key", F.col("h.doc_id").alias("hub"), F.col("h.root").alias("hub_root"))
 
 
 def stars(shared: DataFrame, roots: DataFrame | None, tested: DataFrame | None, best: bool) -> DataFrame:
-    """Pairs (a, b), not tested yet, of each key's least member and its members in other components.
+    """Pairs (a, b), not tested yet, of each key's hub and its members in other components.
 
     With best, each b has only the a with which it shares the most keys, so that a group of near copies, whose keys
-    have many different least members, makes as many pairs as it has members.
+    have many different hubs, makes as many pairs as it has members.
     """
     rows, keys = placed(shared, roots)
-    pairs = rows.join(keys, "key").filter("root != least_root").groupBy(F.col("least").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("k"))
+    pairs = rows.join(keys, "key").filter("root != hub_root").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("k"))
     if tested is not None:
         pairs = pairs.join(tested, ["a", "b"], "left_anti")
     if best:
@@ -203,11 +227,15 @@ def stars(shared: DataFrame, roots: DataFrame | None, tested: DataFrame | None,
 
 
 def crossing(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of members of one key, neither its least, that lie in different components and have sizes that can link."""
+    """Pairs of members of one key, neither its hub, in different components, that sizes and sketches do not rule out.
+
+    Sketches are compared inside the join, so the pairs they rule out are compared but never emitted or shuffled.
+    """
     rows, keys = placed(shared, roots)
-    rest = rows.join(keys, "key").filter("doc_id != least").join(sets.select("doc_id", "n_shingles"), "doc_id")
-    left, right = (rest.select("key", F.col("doc_id").alias(x), F.col("root").alias(f"root_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in ("a", "b"))
-    return left.join(right, "key").filter("root_a != root_b and a < b and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b").distinct()
+    rest = rows.join(keys, "key").filter("doc_id != hub").join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    left, right = (rest.select("key", F.col("doc_id").alias(x), F.col("root").alias(f"root_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in ("a", "b"))
+    met = left.withColumnRenamed("key", "key_a").join(right, (F.col("key_a") == F.col("key")) & F.expr("root_a != root_b and a < b") & may_link())
+    return met.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,18 +254,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     reps = d.filter("doc_id is not null").join(out, "doc_id", "left_anti")
     rep_sets = full.join(out, "doc_id", "left_anti").dropDuplicates(["doc_id"])
 
-    rows = indexed(reps).repartition("key")
-    groups = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least != most")
-    shared = written(rows.join(groups.select("key"), "key").select("key", "doc_id"), spark)
+    shared = written(sharing(indexed(reps)), spark)
     links, tested, roots = None, None, None
-    for best in (True, True, False):
+    for best in (True, False):
         pairs = stars(shared, roots, tested, best)
         found = written(verified(possible(pairs, rep_sets), reps), spark)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         roots = components(links)
     more = crossing(shared, roots, rep_sets)
-    second = written(verified(possible(more, rep_sets), reps), spark)
+    second = written(verified(more, reps), spark)
     equal = copies.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second).unionByName(equal))
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vanefold.functions.vectors import Metric, doubles, int8_values, normalized, sign_words, squared_l2
-from vanefold.operators import cells, graph, search
+from vanefold.operators import cells, graph, kernels, proximity, search, sequential
 
 DIM, K = 64, 10
 COS, DOT, L2 = Metric.COSINE, Metric.DOT, Metric.L2
@@ -78,6 +78,10 @@ def _pq(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _cells(build: Callable, n_probe: int = 1, over: int = 16) -> Callable[[SparkSession, str], DataFrame]:
+    return _searcher(lambda q, v: kernels.cell_search(q, *build(v), K, n_probe, over))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exact_cosine": _searcher(lambda q, v: search.exact(q, v, K, COS)),
     "exact_dot": _searcher(lambda q, v: search.exact(q, v, K, DOT), True),
@@ -120,6 +124,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "neighborhood_bfs": _graph(lambda e, v: graph.neighborhood(e, v.filter("id = 0"), 2)),
     "communities_sync": _graph(lambda e, v: graph.communities(e, v, 3)),
     "graph_export": _graph(lambda e, v: graph.exported_edges(e)),
+    "rabitq_search": _cells(lambda v: kernels.rabitq(v, COS)),
+    "ivf_rabitq_search": _cells(lambda v: kernels.rabitq(v, COS, 16), 8),
+    "ivfpq_search": _cells(lambda v: kernels.ivf_pq(v, COS, 16, 16, 64, 8), 8),
+    "opq_search": _cells(lambda v: kernels.opq(v, COS, 16, 64, 8, 3)),
+    "graph_ann_search": _searcher(lambda q, v: proximity.graph_search(q, proximity.graph_built(v, COS), K, COS)),
+    "graph_ann_exhaustive": _searcher(lambda q, v: proximity.graph_search(q, proximity.graph_built(v, COS), K, COS, proximity.SHARD * 2)),
+    "communities_seq": _graph(lambda e, v: sequential.communities_in_order(e, v, 20)),
+    "neighborhood_lifo": _graph(lambda e, v: sequential.neighborhood_in_order(e, v, 0, 2, 50)),
 }
 
 # DuckDB: the same queries over the view `embeddings`.
@@ -215,6 +227,7 @@ _META = "m AS (SELECT id, concat('note ', id) AS title, CASE WHEN id % 4 = 0 THE
 
 ORACLE: dict[str, str] = {
     "exact_cosine": _scan(_COS, -1),
+    "graph_ann_exhaustive": _scan(_COS, -1),
     "exact_dot": _scan(_DOTX, -1, _S),
     "exact_l2": _scan(_L2X, 1, _S),
     "exact_filtered": _scan(_COS, -1, where="v.id % 3 = 0"),

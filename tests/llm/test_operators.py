@@ -114,13 +114,27 @@ def brute_repeats(rows, window):
     return Counter(out)
 
 
-def test_suffix_dedup(docs, empty):
+@pytest.mark.parametrize("variants", [2, 2000])
+def test_suffix_dedup(docs, empty, monkeypatch, variants):
+    monkeypatch.setattr(suffix_dedup, "VARIANTS", variants)
     got = Counter(tuple(r) for r in suffix_dedup.dedup_report(docs).collect())
     assert got == brute_repeats([(r[0], r[1]) for r in sample()], 200)
     assert suffix_dedup.dedup_report(empty).count() == 0
     assert suffix_dedup.deduplicated(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("variants", [3, 2000])
+def test_suffix_dedup_of_a_shared_passage(spark, monkeypatch, variants):
+    monkeypatch.setattr(suffix_dedup, "VARIANTS", variants)
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefg ") for _ in range(330))
+    near = passage[:150] + "#" + passage[151:]
+    rows = [(i, "".join(r.choice("xyz ") for _ in range(r.randrange(300))) + (near if i % 3 == 0 else passage[i % 7 :]) + "".join(r.choice("uvw ") for _ in range(r.randrange(300)))) for i in range(40)]
+    rows += [(90, "ab" * 400), (91, "z" + "ab" * 200), (92, None)]
+    got = suffix_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(tuple(x) for x in got.collect()) == brute_repeats(rows, 200)
+
+
 def test_merged_transforms(monkeypatch):
     monkeypatch.setattr(bwt, "SHARD", 100)
     r = random.Random(5)

@@ -7,7 +7,8 @@
    rows of hashes.
 3. The other contexts of a k-mer with several are fetched, one of each, and trimmed to the parts that could match.
    Blocks of them go through Burrows-Wheeler transforms of shards, merged by interleave refinement (see bwt.py), whose
-   intervals of WINDOW common bytes give the repeated windows.
+   intervals of WINDOW common bytes give the repeated windows. A k-mer with more than VARIANTS contexts is not merged
+   in one task: hashes of its windows are counted as rows, which finds the same windows.
 
 Strings are compared as 64-bit hashes of spans where whole contexts are equal, and symbol by symbol in the merge.
 Null and empty texts and texts shorter than WINDOW lose nothing. Matches never cross texts, as each string has its own
@@ -26,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vanefold.llm.anchors import KMER, anchors
+from vanefold.llm.anchors import KMER, anchors, prefix_sums, span_hash
 from vanefold.llm.bwt import repeated_starts
 from vanefold.llm.common import limit_batches, steps, written
+from vanefold.llm.shingles import mix
 
 WINDOW = 200
 #: Windows whose common bytes are tested together before the merge, and bytes of a block that is merged at once.
 CELL, BLOCK = 17, 1 << 17
+#: Contexts of one k-mer that are merged in one task; beyond, its windows are counted as rows.
+VARIANTS = 2000
 
 ROWS = "id long, th long, kmer long, context long, first int, last int, anchor int"
 
@@ -127,25 +131,62 @@ def matched(contexts: DataFrame, window: int = WINDOW) -> DataFrame:
     return sorted_.select("kmer", "context", "raw", "anchor", "n").mapInArrow(run, "kmer long, context long, runs array<int>")
 
 
+def matched_by_window(contexts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The same as `matched`, window by window, for k-mers with so many contexts that one task can't hold them.
+
+    Each window is a row of a hash, so equal ones are counted in part before they move and no group meets in one task.
+    """
+    limit_batches(contexts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, "raw"):
+            owner, start, mark = [], [], []
+            for i, (raw, anchor) in enumerate(zip(b.column("raw").to_pylist(), b.column("anchor").to_pylist(), strict=True)):
+                at = np.arange(len(raw) - window + 1)
+                h = span_hash(prefix_sums(np.frombuffer(raw, dtype=np.uint8)), at, at + window)
+                owner.append(np.full(len(at), i))
+                start.append(at)
+                mark.append(mix(h + (anchor - at).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)))
+            o = np.concatenate(owner)
+            yield pa.RecordBatch.from_arrays([b.column("kmer").take(pa.array(o)), b.column("context").take(pa.array(o)), pa.array(np.concatenate(start), pa.int32()), pa.array(np.concatenate(mark).view(np.int64))], names=["kmer", "context", "start", "mark"])
+
+    spark = contexts.sparkSession
+    rows = written(contexts.select("kmer", "context", "raw", "anchor").mapInArrow(run, "kmer long, context long, start int, mark long"), spark)
+    again = written(rows.groupBy("kmer", "mark").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), spark)
+    hit = rows.join(again, ["kmer", "mark"], "left_semi")
+    return hit.groupBy("kmer", "context").agg(F.flatten(F.collect_list(F.array("start", "start"))).alias("runs"))
+
+
 def repeated_runs(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, th, runs): the bytes of each text to remove, as flat (start, end) pairs in no order."""
+    """(id, th, runs): the bytes of each text to remove, as flat (start, end) pairs in no order.
+
+    Counts are aggregated in part before they move and written before rows join them, so that a k-mer or context which
+    holds a large share of all rows is split by adaptive execution instead of lying in one task.
+    """
     spark = keyed.sparkSession
-    rows = written(anchored(keyed, window), spark).repartition("kmer")
-    counts = rows.groupBy("kmer", "context").agg(F.count("*").alias("n"))
-    kinds = counts.groupBy("kmer").agg(F.sum("n").alias("total"), F.count("*").alias("variants")).filter("total > 1")
-    per = counts.join(kinds.select("kmer", "variants"), "kmer")
-    recurring = written(rows.join(per, ["kmer", "context"]).drop("total"), spark)
-    whole = recurring.filter("n > 1").select("id", "th", F.array("first", F.col("last") + window).alias("runs"))
-
-    mixed = recurring.filter("variants > 1")
-    one = mixed.groupBy("kmer", "context").agg(F.min_by(F.struct("id", "th", "first", "last", "anchor", "n"), F.struct("id", "th", "first")).alias("s")).select("kmer", "context", "s.*")
+    rows = written(anchored(keyed, window), spark)
+    kinds = rows.groupBy("kmer").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).filter("n > 1")
+    recurring = written(rows.join(written(kinds.select("kmer", (F.col("lo") != F.col("hi")).alias("mixed")), spark), "kmer"), spark)
+    whole = recurring.filter("not mixed")
+
+    mixed = recurring.filter("mixed")
+    # any of the equal contexts will do; all columns come from one row
+    one = written(mixed.groupBy("kmer", "context").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("id", "th", "first", "last", "anchor"))), spark)
+    whole = whole.drop("mixed").unionByName(mixed.drop("mixed").join(one.filter("n > 1").select("kmer", "context"), ["kmer", "context"], "left_semi"))
     wanted = one.groupBy("id", "th").agg(F.collect_list(F.struct("kmer", "context", "first", "last", "anchor", "n")).alias("wanted"))
     texts = keyed.select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.col("_raw").alias("raw"))
     met = wanted.join(texts, ["id", "th"]).select("raw", F.explode("wanted").alias("w"))
     part = F.expr(f"substring(raw, w.first + 1, w.last - w.first + {window})")
     contexts = met.select("w.kmer", "w.context", part.alias("raw"), (F.col("w.anchor") - F.col("w.first")).alias("anchor"), "w.n").dropDuplicates(["kmer", "context"])
-    found = written(matched(contexts, window), spark)
-    partly = mixed.filter("n = 1").join(found, ["kmer", "context"]).select("id", "th", F.transform("runs", lambda x, i: F.col("first") + x + F.when(i % 2 == 1, window).otherwise(0)).alias("runs"))
+    hot = written(one.groupBy("kmer").agg(F.count("*").alias("variants")).filter(F.col("variants") > VARIANTS).select("kmer"), spark)
+    if hot.limit(1).count():
+        contexts = written(contexts, spark)
+        few, many = contexts.join(hot, "kmer", "left_anti"), contexts.join(hot, "kmer", "left_semi")
+        found = written(matched(few, window), spark).unionByName(written(matched_by_window(many, window), spark))
+    else:
+        found = written(matched(contexts, window), spark)
+    partly = one.filter("n = 1").join(found, ["kmer", "context"]).select("id", "th", F.transform("runs", lambda x, i: F.col("first") + x + F.when(i % 2 == 1, window).otherwise(0)).alias("runs"))
+    whole = whole.select("id", "th", F.array("first", F.col("last") + window).alias("runs"))
     return whole.unionByName(partly).groupBy("id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 

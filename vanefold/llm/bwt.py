@@ -5,7 +5,8 @@ another. A round extends the order by one symbol: the elements' preceding symbol
 moves on by its shard's own LF mapping, so that after h rounds the merged order is right for the first h symbols. No
 suffix is compared with another shard's, and no suffix is sorted anew. Groups of neighbours that agree so far are
 refined along with the order: a boundary between two neighbours stays once it is found, and its round is their common
-prefix. After `depth` rounds, a group of two or more is an interval of suffixes that share `depth` symbols.
+prefix. An element alone in its group stays alone, as whatever it moves on to has those symbols too, so it leaves the
+order. After `depth` rounds, what is left are intervals of two or more suffixes that share `depth` symbols.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import numpy as np
 
 #: Bytes of one shard.
 SHARD = 1 << 14
+#: Rounds after which elements alone in their groups leave the order.
+EVERY = 8
 
 
 def shard_transform(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,14 +44,14 @@ def shard_transform(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.nd
     return order, before
 
 
-def merged(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(merged order as positions in the shards' joined suffix arrays, group of each element) after `depth` rounds."""
+def merged(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> np.ndarray:
+    """Positions in the shards' joined suffix arrays, in merged order, of the suffixes that share `depth` symbols with another."""
     before = np.concatenate([b for _, b in shards]).astype(np.uint16)
     offsets = np.cumsum([0] + [len(b) for _, b in shards[:-1]])
     step = np.concatenate([o + _last_to_first(b) for o, (_, b) in zip(offsets, shards, strict=True)]).astype(np.int32)
     order = np.arange(len(before), dtype=np.int32)
     group = np.zeros(len(before), dtype=np.int32)
-    for _ in range(depth):
+    for done in range(1, depth + 1):
         symbol = before[order]
         by = np.argsort(symbol, kind="stable")
         symbol, own = symbol[by], group[by]
@@ -58,7 +61,13 @@ def merged(shards: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.
         group = np.zeros(len(order), dtype=np.int32)
         np.cumsum(edge, out=group[1:])
         order = step[order[by]]
-    return order, group
+        if done == depth or not done % EVERY:
+            edges = np.concatenate([[True], edge, [True]])
+            several = ~(edges[1:] & edges[:-1])
+            order, group = order[several], group[several]
+            if not len(order):
+                break
+    return order
 
 
 def _last_to_first(before: np.ndarray) -> np.ndarray:
@@ -96,14 +105,11 @@ def repeated_starts(strings: list[bytes], depth: int, counts: list[int]) -> list
     close()
     if not shards:
         return []
-    order, group = merged(shards, depth)
+    order = merged(shards, depth)
     text, start = np.concatenate(where_text)[order], np.concatenate(where_at)[order]
-    sizes = np.bincount(group)
-    full = np.array([len(s) for s in strings])[text] >= start + depth
-    many = np.array(counts)[text] > 1
-    hit = full & ((sizes[group] > 1) | many)
-    text, start = text[hit], start[hit]
+    once = np.array(counts)[text] == 1
+    text, start = text[once], start[once]
     by = np.lexsort((start, text))
     text, start = text[by], start[by]
     cuts = np.searchsorted(text, np.arange(len(strings) + 1))
-    return [start[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [start[a:b] if n == 1 else np.arange(max(0, len(t) - depth + 1)) for a, b, t, n in zip(cuts[:-1], cuts[1:], strings, counts, strict=True)]

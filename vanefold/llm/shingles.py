@@ -13,7 +13,7 @@ from xxhash import xxh3_64_intdigest
 
 WORDS = 5
 #: Distinct words whose hash a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 _ODD = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1 for i in range(1, WORDS + 1)], dtype=np.uint64)
 
 

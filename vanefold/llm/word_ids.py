@@ -14,7 +14,7 @@ import numpy as np
 
 from vanefold.llm.token_counts import NOT_LATIN, byte_alphabet
 
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 #: The splitter that the fast way knows, and the same cuts for Latin texts.
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LATIN_SPLITTER = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")

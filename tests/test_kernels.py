@@ -58,3 +58,17 @@ def test_text_sources(spark, tmp_path):
     assert [(r["id"], list(r["vector"])) for r in text.read_vecs(spark, str(tmp_path / "x.fvecs")).orderBy("id").collect()] == [(0, [1.5, 2.0]), (1, [3.0, 4.0])]
     hits = spark.createDataFrame([(0, 0, 7, 0.25)], "query_id long, rank long, id long, score double")
     assert text.hit_lines(hits).first()[0] == "0\t0\t7\t0.250000"
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_exact_blocks_equal_exact(spark, monkeypatch, metric):
+    monkeypatch.setattr(kernels, "BLOCK", 20)
+    r = np.random.default_rng(4)
+    x = r.standard_normal((60, 5))
+    x[40:] = x[:20]  # ties
+    rows = spark.createDataFrame([(i, v.tolist(), i % 9 == 0) for i, v in enumerate(x)], "id long, vector array<double>, deleted boolean").repartition(3)
+    q = rows.selectExpr("id as query_id", "vector")
+    want = sorted(map(tuple, search.exact(q, rows, 4, metric).collect()))
+    assert sorted(map(tuple, kernels.exact_blocks(q, rows, 4, metric).collect())) == want
+    assert kernels.exact_blocks(q, rows.limit(0), 4, metric).count() == 0
+    assert kernels.exact_blocks(q.limit(0), rows, 4, metric).count() == 0

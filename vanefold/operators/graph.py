@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vanefold.functions.vectors import Metric
-from vanefold.operators.search import exact
+from vanefold.operators.kernels import exact_blocks
 
 
 def knn_edges(collection: DataFrame, k: int, metric: Metric, min_weight: float | None = None) -> DataFrame:
     """(src, dst, weight) of each row's k nearest others."""
     queries = collection.select(F.col("id").alias("query_id"), "vector")
-    hits = exact(queries, collection, k + 1, metric).filter("query_id != id")
+    hits = exact_blocks(queries, collection, k + 1, metric).filter("query_id != id")
     edges = hits.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("score").alias("weight"))
     return edges if min_weight is None else edges.filter(F.col("weight") >= min_weight)
 

@@ -236,3 +236,52 @@ def opq(collection: DataFrame, metric: Metric, m: int = 16, ksub: int = 256, rou
     x = sampled(rows)
     cells = ProductCells(np.zeros((1, x.shape[1])), Codebooks.fitted(x, m, ksub, rounds, turns), metric)
     return encoded(rows, cells), cells
+
+
+def _best(keys: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    return np.lexsort((ids, keys))[:k]
+
+
+def exact_blocks(queries: DataFrame, collection: DataFrame, k: int, metric: Metric, where: Column | str | None = None) -> DataFrame:
+    """The same rows as `search.exact`, for many queries: a matrix product finds what could be among the k nearest.
+
+    What is within rounding of a batch's k-th product gets its key summed component by component, in the order in which
+    the JVM sums, so keys and ties are those of `search.exact`. A task gives k rows a query. Work is queries by rows;
+    beyond some million rows, take a search through cells instead.
+    """
+    q = queries.select("query_id", prepared(F.col("vector"), metric).alias("v"))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    parts = []
+    for i in range(blocks):
+        held = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow().combine_chunks()
+        ids, x = held.column("query_id").to_numpy(), matrix(held.column("v").combine_chunks()) if held.num_rows else np.zeros((0, 0))
+        parts.append(ready(collection, metric, where).mapInArrow(_scanner(queries.sparkSession.sparkContext.broadcast((ids, x)), k, metric), "query_id long, id long, key double"))
+    return _hits(top_k(reduce(DataFrame.unionByName, parts), k), metric)
+
+
+def _scanner(block, k: int, metric: Metric):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = block.value
+        best = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in ids]
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            x, own = matrix(b.column("v")), b.column("id").to_numpy()
+            rough = distances(q, x) if metric is Metric.L2 else -q @ x.T
+            slack = 1e-9 * (1 + np.sqrt((q * q).sum(1)) + np.sqrt((x * x).sum(1).max())) ** 2
+            limit = np.partition(rough, min(k, len(own)) - 1, axis=1)[:, min(k, len(own)) - 1] + slack
+            at, row = np.nonzero(rough <= limit[:, None])
+            keys = np.zeros(len(at))
+            for j in range(q.shape[1]):
+                keys += (q[at, j] - x[row, j]) ** 2 if metric is Metric.L2 else q[at, j] * x[row, j]
+            keys = keys if metric is Metric.L2 else -keys
+            cuts = np.searchsorted(at, np.arange(len(ids) + 1))
+            for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                both, names = np.concatenate([best[i][0], keys[lo:hi]]), np.concatenate([best[i][1], own[row[lo:hi]]])
+                first = _best(both, names, k)
+                best[i] = (both[first], names[first])
+        n = [len(x) for x, _ in best]
+        if sum(n):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(np.concatenate([i for _, i in best]), pa.int64()), pa.array(np.concatenate([x for x, _ in best]))], names=["query_id", "id", "key"])
+
+    return run

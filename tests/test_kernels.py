@@ -72,3 +72,14 @@ def test_exact_blocks_equal_exact(spark, monkeypatch, metric):
     assert sorted(map(tuple, kernels.exact_blocks(q, rows, 4, metric).collect())) == want
     assert kernels.exact_blocks(q, rows.limit(0), 4, metric).count() == 0
     assert kernels.exact_blocks(q.limit(0), rows, 4, metric).count() == 0
+
+
+@pytest.mark.parametrize("build", [lambda v: kernels.rabitq(v, Metric.COSINE, 16), lambda v: kernels.ivf_pq(v, Metric.COSINE, 16, 8, 16, 4)])
+def test_searches_widen_to_their_target(spark, build):
+    r = np.random.default_rng(6)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.standard_normal((1200, 32)))], "id long, vector array<float>").repartition(3)
+    q = v.filter("id % 30 = 0").selectExpr("id as query_id", "vector")
+    rows, cells = build(v)
+    truth = search.exact(q, v, 10, Metric.COSINE)
+    assert search.recall(kernels.cell_search(q, rows, cells, 10, 2, 2), truth).first()[0] < 0.9
+    assert search.recall(kernels.cell_search(q, rows, cells, 10, *kernels.widened(rows, cells, 10, 2, 2)), truth).first()[0] >= 0.9

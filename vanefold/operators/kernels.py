@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vanefold.functions.vectors import Metric, key, prepared
-from vanefold.operators.search import BLOCK, _hits, live, top_k
+from vanefold.operators.search import BLOCK, _hits, live, recall, top_k
 
 #: Rows from which models are fitted at most.
 SAMPLE = 50_000
+#: Rows by which a search's recall is measured, and the recall at which widening ends.
+MEASURED, TARGET = 256, 0.95
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -205,6 +207,27 @@ def cell_search(queries: DataFrame, rows: DataFrame, cells: Cells, k: int, n_pro
     return _hits(top_k(exact, k), metric)
 
 
+def widened(rows: DataFrame, cells: Cells, k: int, n_probe: int, oversample: int, target: float = TARGET) -> tuple[int, int]:
+    """(n_probe, oversample), doubled from those given until the recall of MEASURED rows reaches the target.
+
+    Each measured row is a query for its k nearest other rows, as finding itself would say nothing. Probes double while
+    cells are left, and oversampling until all rows are candidates, where the search is exact; so it ends.
+    """
+    metric, n = cells.metric, rows.count()
+    asks = rows.orderBy(F.xxhash64("id"), "id").limit(MEASURED).select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    if not n:
+        return n_probe, oversample
+    asks = asks.sparkSession.createDataFrame(asks.toArrow())
+    truth = exact_blocks(asks, rows.withColumnRenamed("v", "vector"), k + 1, metric).filter("query_id != id")
+    truth = truth.sparkSession.createDataFrame(truth.toArrow())  # at most MEASURED * (k + 1) rows
+    while n_probe < len(cells.centroids) or k * oversample < n:
+        got = cell_search(asks, rows, cells, k + 1, n_probe, oversample).filter("query_id != id")
+        if recall(got, truth).first()[0] >= target:
+            break
+        n_probe, oversample = min(2 * n_probe, len(cells.centroids)), 2 * oversample
+    return n_probe, oversample
+
+
 Built = tuple[DataFrame, Cells]
 
 

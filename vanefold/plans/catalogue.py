@@ -79,7 +79,13 @@ def _pq(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _cells(build: Callable, n_probe: int = 1, over: int = 16) -> Callable[[SparkSession, str], DataFrame]:
-    return _searcher(lambda q, v: kernels.cell_search(q, *build(v), K, n_probe, over))
+    """n_probe and over are where widening starts."""
+
+    def search_of(q: DataFrame, v: DataFrame) -> DataFrame:
+        rows, held = build(v)
+        return kernels.cell_search(q, rows, held, K, *kernels.widened(rows, held, K, n_probe, over))
+
+    return _searcher(search_of)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

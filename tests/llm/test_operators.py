@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -157,6 +158,24 @@ def test_quality(spark, docs, empty):
     assert quality.quality_report(docs, labels.limit(0)).count() == len(sample())
 
 
+def test_thresholds_move_smoothly(spark):
+    """One trusted text more or less of a rare language moves its threshold a little, at any number of them."""
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["the", "cat", "sat", "on", "mat"]) for _ in range(60)), "en") for i in range(200)]
+    rows += [(1000 + i, " ".join(r.choice(["zug", "wolf", "quark", "jux", "typ", "vlies"]) for _ in range(r.randrange(20, 80))), "de") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def threshold(n):
+        labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows if i < 1000 + n], "doc_id long, quality int, toxic int")
+        return quality.quality_report(table, labels).filter("doc_id = 1059").first()["threshold"]
+
+    few, fewer, more = threshold(10), threshold(49), threshold(50)
+    assert abs(np.log(more / fewer)) < 0.02
+    whole = spark.createDataFrame([(i, 1, 0) for i, *_ in rows if i < 1010], "doc_id long, quality int, toxic int")
+    pooled = quality.quality_report(table.withColumn("lang", F.lit(None).cast("string")), whole).filter("doc_id = 1059").first()["threshold"]
+    assert few != pooled
+
+
 def test_media(docs, empty):
     got = media.media_features(media.media_files(docs)).collect()
     want = Counter()

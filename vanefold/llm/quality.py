@@ -7,8 +7,9 @@ and joins of those count tables. The result, at most SYMBOLS ** ORDER numbers (2
 
 Trusted texts are all labelled good and not toxic. A text's perplexity is the exponential of its mean negative log
 probability a character. For each language, the threshold lies MARGIN times the spread of trusted texts (their quantile
-QUANTILE less their median, in log perplexity) above that quantile; languages with fewer than LEAST_TRUSTED trusted
-texts, and null ones, take the threshold of all. Short texts vary more: the spread is widened by 1 + SHORT / characters.
+QUANTILE less their median, in log perplexity) above that quantile. Both quantiles of a language with n trusted texts
+weigh n / (n + PRIOR) against those of all texts, whatever n is; null languages and those without trusted texts take
+the latter. Short texts vary more: the spread is widened by 1 + SHORT / characters.
 
 Null and empty texts have no perplexity and are rejected. Without trusted texts nothing is known, and every other text
 is kept. Repeated rows are judged each.
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from vanefold.llm.common import limit_batches, steps, within, written
 
 SYMBOLS, ORDER = 48, 4
-QUANTILE, MARGIN, SHORT, LEAST_TRUSTED = 0.99, 0.5, 100.0, 50
+QUANTILE, MARGIN, SHORT, PRIOR = 0.99, 0.5, 100.0, 50.0
 #: Up to so many trusted ids are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _START = 41  # texts begin after line ends
@@ -178,9 +179,10 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
     trusted = scored.filter("_trusted and _log is not null")
     whole = trusted.agg(*quantiles).first()
     if whole["_n"]:
-        by_lang = trusted.filter("_lang is not null").groupBy("_lang").agg(*quantiles).filter(F.col("_n") >= LEAST_TRUSTED).drop("_n")
+        by_lang = trusted.filter("_lang is not null").groupBy("_lang").agg(*quantiles)
         by_lang = F.broadcast(by_lang) if within(by_lang, 100_000) else by_lang
-        q = F.coalesce("_q", F.array(*[F.lit(float(x)) for x in whole["_q"]]))
+        own = F.coalesce(F.col("_n") / (F.col("_n") + PRIOR), F.lit(0.0))
+        q = [F.lit(float(x)) + own * (F.coalesce(F.col("_q")[i], F.lit(float(x))) - float(x)) for i, x in enumerate(whole["_q"])]
         limit = q[1] + MARGIN * (q[1] - q[0]) * F.col("_wide")
         scored = scored.join(by_lang, "_lang", "left").withColumn("threshold", F.exp(limit))
         kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))

@@ -209,6 +209,16 @@ def test_html(spark):
     assert got[9] == "" and got[10] == "T plain" and got[11] == "only this"
 
 
+def test_html_chrome_inside_articles(spark):
+    """A container that recurs inside the articles of a host goes; copied bodies and paragraphs stay."""
+    page = "<main><article><div>Get our letter</div><div><p>A longest block of its own on page {i}, with words.</p><p>Copied line</p></div></article></main>"
+    rows = [(i, f"http://h.example/{i}", page.format(i=i)) for i in range(4)]
+    rows += [(10 + i, f"http://g.example/{i}", "<article><div><p>One body that several pages copy whole</p></div></article>") for i in range(4)]
+    got = {r["page_id"]: (r["text"], r["n_template"]) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == ("A longest block of its own on page 2, with words. Copied line", 1)
+    assert got[11] == ("One body that several pages copy whole", 0)
+
+
 def test_secrets(docs):
     a = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     rows = docs.sparkSession.createDataFrame([(1, 'é token="abc" secret: token: abcdefghij'), (2, "API_KEY=ABCDEFGH12 AKIAAKIA AKIA" + "Z9" * 8), (3, None), (4, "id " + "0af3" * 9 + " q8Zr+Lw2/Xc7Vb9Nm4Kj6Hg1Fd5Ss3")], "doc_id long, text string")

@@ -5,10 +5,11 @@ so broken pages are read to their end. Elements that are never article text (men
 scripts, adverts, notices, reader comments, by tag, role, class or id) are left out with all that they hold. If the
 page has an article or a main element, only their text counts.
 
-What else lies outside articles is undecided: each such element's subtree is hashed (tags and text), Spark counts on
-how many pages of one host with different main blocks a hash occurs, and subtrees found on at least TEMPLATE_PAGES
-are deleted. The element that holds a page's longest block is never deleted, so copies of a page don't delete each
-other. Counts are by (host, hash), never by host alone.
+What else there is is undecided: each such element's subtree is hashed (tags and text), Spark counts on how many pages of
+one host with different main blocks a hash occurs, and subtrees found on at least TEMPLATE_PAGES are deleted. Inside
+articles and main elements that goes for CONTAINERS alone, as paragraphs are copied between pages. An element that holds
+a page's longest block, or half of an article's text, is never deleted, so copies of a page or of its body don't delete
+each other. Counts are by (host, hash), never by host alone.
 
 Null and empty pages, and pages of markup alone, have the text ''. Null urls count as the host ''. Repeated rows give a
 row each. Character references are decoded, white space in a block becomes one space, and blocks are joined by a space.
@@ -35,6 +36,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address details summary hgroup search center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
+CONTAINERS = frozenset("div section ul ol dl table details address figure center search hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead comment comments respond disqus cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup login share sharing social related recommended widget pagination pager toolbar skip".split()
@@ -69,7 +71,7 @@ class Page:
         self.blocks: list[list] = []  # text, in main, open undecided elements
         self.text: list[str] = []
         stack: list[tuple[str, bool, bool, list | None]] = []  # tag, left out, in main, undecided element: [hash, longest?]
-        self.elements: list[list] = []
+        self.elements: list[list] = []  # hash, kept, characters inside
         at, n = 0, len(source)
         out = main = False
         while at < n:
@@ -112,8 +114,8 @@ class Page:
                     main = main or tag in MAIN
                     out = out or drop
                     element = None
-                    if not out and not main and tag not in ("html", "body"):
-                        element = [xxh3_64(tag.encode()), False]
+                    if not out and (tag in CONTAINERS if main else tag not in ("html", "body")):
+                        element = [xxh3_64(tag.encode()), False, 0]
                         self.elements.append(element)
                     stack.append((tag, out, main, element))
             else:
@@ -136,6 +138,7 @@ class Page:
         if made:
             around = [s[3] for s in stack if s[3] is not None]
             for e in around:
+                e[2] += len(made)
                 e[0].update(b"\0" + stack[-1][0].encode() + b"\0" + made.encode("utf-8", "surrogatepass"))
             self.blocks.append([made, main, around])
 
@@ -148,6 +151,10 @@ class Page:
         longest = max(blocks, key=lambda b: len(b[0]))
         for e in longest[2]:
             e[1] = True
+        if inside:
+            half = sum(len(b[0]) for b in inside) / 2
+            for e in self.elements:
+                e[1] = e[1] or e[2] >= half
         signed = lambda e: (e[0].intdigest() & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
         return [b[0] for b in blocks], [[signed(e) for e in b[2] if not e[1]] for b in blocks], xxh3_64(longest[0].encode("utf-8", "surrogatepass")).intdigest() - (1 << 63)
 

@@ -233,6 +233,13 @@ def test_secrets(docs):
     assert secret_scan.redacted(rows).filter("doc_id = 2").first()["text"] == "[secret] AKIAAKIA [secret]"
 
 
+def test_short_and_prefixed_keys(spark):
+    key = "q8Zr+Lw2/Xc7Vb9Nm4Kj6H"
+    rows = [(1, f"id {key} end"), (2, f"see example_key={key}"), (3, f"in /examples/{key}"), (4, "example-0123456789-abcdefgh-xxxxxxxx")]
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(key in got[i] for i in (1, 2, 3)) and got[4] == rows[3][1]
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 

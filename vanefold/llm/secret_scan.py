@@ -5,7 +5,8 @@ their text. Positions are code points from 0, ends exclusive, and follow from th
 between them. Candidates for entropy are runs of token characters with a letter and a digit. A window of ENTROPY_WINDOW
 characters slides over each; its character counts change by the one that enters and the one that leaves, and with them
 the sum of c log2 c that gives the Shannon entropy. A candidate's span runs from its first to its last window above the
-threshold of its character class. Candidates that match the allow-list, or lie within a pattern's span, are left out.
+threshold of its character class. Words of the allow-list end a candidate, so what stands beside them is scanned; paths
+of words, and candidates within a pattern's span, are left out.
 
 Null and empty texts have no spans. Nothing is shuffled; texts of any length are scanned whole.
 """
@@ -24,13 +25,14 @@ HEX = r"[0-9a-f]{32,}"  # likewise
 KINDS = ("assign", "access", "hex", "entropy")
 LEAST_VALUE = 8
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
-LIKELY = r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{24}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"  # ENTROPY_WINDOW characters or more
+LIKELY = r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20}"
 ENTROPY_WINDOW = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Bits a character from which a window counts, by character class (digits and a-f; letters and digits; all).
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
-ALLOWED = r"(?i)example|placeholder|changeme|x{8}|0123456789|abcdefgh|0{8}|^/?[a-z]+(/[a-z]+)+/?$"
+ALLOWED = ("example", "placeholder", "changeme", "xxxxxxxx", "0123456789", "abcdefgh", "00000000")
+PATH = r"(?i)^/?[a-z]+(/[a-z]+)+/?$"
 
 _NONE = "array<struct<start:int,kind:int,end:int,text:string,value:string>>"
 
@@ -93,8 +95,11 @@ def windows(chars: Column, threshold: Column) -> Column:
 
 def entropy_spans(text: Column, base: Column) -> Column:
     """Spans of high entropy that no span of `base` holds."""
-    likely = F.when(text.rlike(LIKELY), text).otherwise(F.lit(""))
-    wanted = F.filter(found(likely, CANDIDATE, 3), lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]") & ~x["text"].rlike(ALLOWED))
+    masked = text  # as long as the text, so that positions stay
+    for word in ALLOWED:
+        masked = F.regexp_replace(masked, f"(?i){word}", " " * len(word))
+    likely = F.when(text.rlike(LIKELY), masked).otherwise(F.lit(""))
+    wanted = F.filter(found(likely, CANDIDATE, 3), lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]") & ~x["text"].rlike(PATH))
     wanted = F.filter(wanted, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
 
     def span(x: Column) -> Column:

@@ -8,7 +8,9 @@
 3. The residual rests follow one another, longest first, and are cut where a window ends, so only the last sequence of
    the whole corpus is padded.
 4. A rest's place follows from its length and its rank among rests of that length: the ranks before its part (a prefix
-   sum over parts) and its rank in the part. No group of equal lengths meets in one task.
+   sum over parts) and its rank in the part. These sums, one for each part and length, are looked up beside the ids,
+   which don't move; if there are too many to broadcast, rows are dealt out by part and length. No group of equal
+   lengths meets in one task.
 
 Null and empty texts are documents of the end id alone. Repeated rows are packed each. Sequence ids are unique, not
 dense: those of full windows carry their part in the high bits.
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vanefold.llm.common import limit_batches, steps, texts, written
+from vanefold.llm.common import limit_batches, small, steps, texts, written
 from vanefold.llm.word_ids import word_ids
 
 WINDOW, END_ID = 2048, 1
@@ -160,16 +162,15 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     """One row per piece; each id of each document lies in exactly one piece."""
     spark = docs.sparkSession
     tokens = written(tokenized(docs, path, window, end_id), spark)
-    per = tokens.groupBy("part", "rest").agg(F.count("*").alias("n"))
+    per = written(tokens.groupBy("part", "rest").agg(F.count("*").alias("n")), spark)
     counts = np.zeros(window, dtype=np.int64)
     for r in per.groupBy("rest").agg(F.sum("n").alias("n")).collect():  # at most `window` rows
         counts[r["rest"]] = r["n"]
     counts[0] = 0
     plan = Plan(counts, window)
     order = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = per.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    by_part = before.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("rest", "before"))).alias("ranks"))  # at most `window` entries each
-    rows = tokens.join(by_part, "part").select(*[x.split()[0] for x in TOKENS.split(", ")], F.expr("element_at(transform(filter(ranks, r -> r.rest = rest), r -> r.before), 1)").alias("before"))
+    before = written(per.select("part", "rest", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before")), spark)
+    rows = tokens.join(small(before), ["part", "rest"]).select(*[x.split()[0] for x in TOKENS.split(", ")], "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = f"<u{word_ids(path).width}"

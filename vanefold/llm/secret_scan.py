@@ -5,10 +5,12 @@ their text. Positions are code points from 0, ends exclusive, and follow from th
 between them. Candidates for entropy are runs of token characters with a letter and a digit. A window of ENTROPY_WINDOW
 characters slides over each; its character counts change by the one that enters and the one that leaves, and with them
 the sum of c log2 c that gives the Shannon entropy. A candidate's span runs from its first to its last window above the
-threshold of its character class. Words of the allow-list end a candidate, so what stands beside them is scanned; paths
-of words, and candidates within a pattern's span, are left out.
+threshold of its character class. Words of the allow-list end a candidate, so what stands beside them is scanned; candidates
+without a digit (such as paths of words) or within a pattern's span are left out.
 
-Null and empty texts have no spans. Nothing is shuffled; texts of any length are scanned whole.
+Null and empty texts have no spans. Rows are looked at one by one, so repeated rows have equal results and empty tables
+none; ties in the order of spans are by kind. Nothing is shuffled; texts of any length are scanned whole, in time
+proportional to their length. Other columns, whatever their names, are passed through by `redacted`.
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ KINDS = ("assign", "access", "hex", "entropy")
 LEAST_VALUE = 8
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"  # ENTROPY_WINDOW characters or more
-LIKELY = r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20}"
+#: A run with a digit, a letter and 20 characters, looked at from its start alone, so that long runs take linear time.
+LIKELY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20}"
 ENTROPY_WINDOW = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Bits a character from which a window counts, by character class (digits and a-f; letters and digits; all).
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}
 ALLOWED = ("example", "placeholder", "changeme", "xxxxxxxx", "0123456789", "abcdefgh", "00000000")
-PATH = r"(?i)^/?[a-z]+(/[a-z]+)+/?$"
 
 _NONE = "array<struct<start:int,kind:int,end:int,text:string,value:string>>"
 
@@ -54,43 +56,58 @@ def found(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
 
 
 def _f(c: Column) -> Column:
-    """c log2 c for the counts that a window can hold."""
-    return F.element_at(F.array(*[F.lit(float(i * math.log2(i)) if i else 0.0) for i in range(ENTROPY_WINDOW + 1)]), c + 1)
+    """c log2 c for the counts that a window can hold, and one less and one more."""
+    return F.element_at(F.array(*[F.lit(float(i * math.log2(i)) if i > 0 else 0.0) for i in range(-1, ENTROPY_WINDOW + 2)]), c + 2)
+
+
+#: The counts of a window lie in longs, PER characters of the alphabet in each, of 5 bits (a window has less than 32).
+BITS, PER = 5, 12
+WORDS = -(-len(ALPHABET) // PER)
 
 
 def windows(chars: Column, threshold: Column) -> Column:
-    """(first start, last end) of the windows of an array of characters whose entropy reaches the threshold."""
-    places = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c).cast("int"))
-    w = ENTROPY_WINDOW
+    """(first start, last end) of the windows of an array of characters whose entropy reaches the threshold.
 
-    def slide(s: Column, i: Column) -> Column:
-        old, new = s["old"], s["new"]
-        leaves = F.when(i > w, F.element_at(s["places"], F.greatest(i - w, F.lit(1)))).otherwise(F.lit(0))
-        enters = F.element_at(s["places"], i)
-        at = F.element_at(s["counts"], F.greatest(leaves, F.lit(1)))
-        less = F.when(leaves > 0, _f(at - 1) - _f(at)).otherwise(0.0)
-        now = F.element_at(s["counts"], enters) - F.when(leaves == enters, 1).otherwise(0)
-        total = s["sum"] + less + _f(now + 1) - _f(now)
-        counts = F.transform(s["counts"], lambda c, j: c + F.when(j + 1 == enters, 1).otherwise(0) - F.when(j + 1 == leaves, 1).otherwise(0))
+    A step changes the count of the character that enters and of the one that leaves, and nothing else.
+    """
+    w = ENTROPY_WINDOW
+    at = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c).cast("int") - 1)
+    left = F.concat(F.array_repeat(F.lit(None).cast("int"), w), F.slice(at, 1, F.greatest(F.size(at) - w, F.lit(0))))
+    # what a step needs is in its element: a state that held the whole array would be copied at each step
+    moves = F.arrays_zip(at.alias("enters"), left.alias("leaves"))
+
+    def count(s: Column, p: Column) -> Column:
+        held = F.element_at(F.array(*[s[f"c{k}"] for k in range(WORDS)]), F.call_function("div", p, F.lit(PER)).cast("int") + 1)
+        return F.call_function("shiftright", held, p % PER * BITS).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).cast("int")
+
+    def one(p: Column, k: int) -> Column:
+        return F.when((p >= k * PER) & (p < (k + 1) * PER), F.call_function("shiftleft", F.lit(1).cast("long"), p % PER * BITS)).otherwise(0)
+
+    def slide(s: Column, x: Column) -> Column:
+        enters, leaves, i = x["enters"], F.coalesce(x["leaves"], F.lit(0)), s["i"] + 1
+        full = x["leaves"].isNotNull()
+        gone, now = count(s, leaves), count(s, enters)
+        more = _f(now + 1) - _f(now)
+        total = s["sum"] + F.when(~full, more).when(enters == leaves, 0.0).otherwise(_f(gone - 1) - _f(gone) + more)
         hit = (i >= w) & (F.lit(math.log2(w)) - total / w >= s["least"])
         return F.struct(
-            s["places"].alias("places"),
+            i.alias("i"),
             s["least"].alias("least"),
-            counts.alias("counts"),
+            *[(s[f"c{k}"] + one(enters, k) - F.when(full, one(leaves, k)).otherwise(0)).alias(f"c{k}") for k in range(WORDS)],
             total.alias("sum"),
-            F.when(hit & (old < 0), i - w).otherwise(old).alias("old"),
-            F.when(hit, i).otherwise(new).alias("new"),
+            F.when(hit & (s["old"] < 0), i - w).otherwise(s["old"]).alias("old"),
+            F.when(hit, i).otherwise(s["new"]).alias("new"),
         )
 
     begin = F.struct(
-        places.alias("places"),
+        F.lit(0).alias("i"),
         threshold.cast("double").alias("least"),
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"),
+        *[F.lit(0).cast("long").alias(f"c{k}") for k in range(WORDS)],
         F.lit(0.0).alias("sum"),
         F.lit(-1).alias("old"),
         F.lit(-1).alias("new"),
     )
-    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), begin, slide, lambda s: F.struct(s["old"].alias("old"), s["new"].alias("new")))
+    return F.aggregate(moves, begin, slide, lambda s: F.struct(s["old"].alias("old"), s["new"].alias("new")))
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
@@ -99,16 +116,18 @@ def entropy_spans(text: Column, base: Column) -> Column:
     for word in ALLOWED:
         masked = F.regexp_replace(masked, f"(?i){word}", " " * len(word))
     likely = F.when(text.rlike(LIKELY), masked).otherwise(F.lit(""))
-    wanted = F.filter(found(likely, CANDIDATE, 3), lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]") & ~x["text"].rlike(PATH))
+    wanted = F.filter(found(likely, CANDIDATE, 3), lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]"))
     wanted = F.filter(wanted, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
 
-    def span(x: Column) -> Column:
+    def scan(x: Column) -> Column:
         t = x["text"]
         least = F.when(t.rlike("^[0-9a-fA-F]+$"), THRESHOLDS["hex"]).when(t.rlike("^[0-9A-Za-z]+$"), THRESHOLDS["alnum"]).otherwise(THRESHOLDS["base64"])
-        w = windows(F.split(t, ""), least)
-        return F.struct((x["start"] + w["old"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + w["new"]).alias("end"), (w["new"] > 0).alias("hit"))
+        return F.struct(x["start"].alias("start"), windows(F.split(t, ""), least).alias("w"))
+
+    def span(x: Column) -> Column:  # apart from `scan`, so that windows slide once
+        return F.struct((x["start"] + x["w"]["old"]).alias("start"), F.lit(3).alias("kind"), (x["start"] + x["w"]["new"]).alias("end"), (x["w"]["new"] > 0).alias("hit"))
 
-    kept = F.filter(F.transform(wanted, span), lambda s: s["hit"])
+    kept = F.filter(F.transform(F.transform(wanted, scan), span), lambda s: s["hit"])
     outside = F.filter(kept, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     return F.transform(outside, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
@@ -120,11 +139,10 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
 
 
-def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with base_spans and all_spans: arrays of (start, kind, end), kind by its place in KINDS."""
+def scanned(docs: DataFrame, text: str = "text", base: str = "base_spans", every: str = "all_spans") -> DataFrame:
+    """docs with the columns `base` and `every`: arrays of (start, kind, end), kind by its place in KINDS."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs.withColumn("base_spans", base_spans(t))
-    return out.withColumn("all_spans", F.array_sort(F.concat("base_spans", entropy_spans(t, F.col("base_spans")))))
+    return docs.withColumn(base, base_spans(t)).withColumn(every, F.array_sort(F.concat(base, entropy_spans(t, F.col(base)))))
 
 
 def joined(spans: Column) -> Column:
@@ -147,7 +165,9 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with every span replaced by a mark; overlapping spans share one."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    own = docs.select([F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)])  # names of extra columns can't clash
+    at = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    t = F.coalesce(F.col(at[text]).cast("string"), F.lit(""))
 
     def step(s: Column, x: Column) -> Column:
         inside = x["start"] < s["at"]
@@ -155,5 +175,6 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> Dat
         return F.struct(s["text"].alias("text"), F.greatest(s["at"], x["end"]).alias("at"), F.when(inside, s["out"]).otherwise(F.concat(s["out"], before, F.lit(mark))).alias("out"))
 
     begin = F.struct(t.alias("text"), F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate("all_spans", begin, step, lambda s: F.concat(s["out"], F.substring(s["text"], s["at"] + 1, F.char_length(s["text"]))))
-    return scanned(docs, text).withColumn(text, F.when(F.size("all_spans") > 0, new).otherwise(F.col(text))).drop("base_spans", "all_spans")
+    new = F.aggregate("spans", begin, step, lambda s: F.concat(s["out"], F.substring(s["text"], s["at"] + 1, F.char_length(s["text"]))))
+    told = scanned(own, at[text], "base", "spans")
+    return told.select([(F.when(F.size("spans") > 0, new).otherwise(F.col(at[c])) if c == text else F.col(at[c])).alias(c) for c in docs.columns])

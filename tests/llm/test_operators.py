@@ -66,28 +66,74 @@ def shingles(t):
 
 
 def brute_components(rows):
-    sets = {i: shingles(t) for i, t in rows}
-    root = {i: i for i in sets}
+    """By (id, text): rows of one id are joined."""
+    sets = {(i, text_of(t)): shingles(t) for i, t in rows}
+    root = {i: i for i, _ in rows}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
+    for (i, _), a in sets.items():
+        for (j, _), b in sets.items():
+            if i < j and a and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((find(i), find(j)))
                 root[y] = x
-    return {i: (len(sets[i]), find(i)) for i in sets}
+    return Counter((i, len(sets[i, text_of(t)]), find(i)) for i, t in rows)
 
 
 def test_near_duplicates(docs, empty):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()}
-    want = brute_components([(r[0], r[1]) for r in sample() if r[0] is not None])
-    assert {k: v for k, v in got.items() if k is not None} == want
+    got = Counter(tuple(r) for r in ngram_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect() if r[0] is not None)
+    assert got == brute_components([(r[0], r[1]) for r in sample() if r[0] is not None])
     assert ngram_join.near_duplicates(empty).count() == 0
-    assert ngram_join.one_of_each(docs).columns == docs.columns
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(x for x in ids if x is not None) == sorted({c for _, _, c in got}) and ids.count(None) == 1
+
+
+def near_copies(seed, n):
+    """Groups of near copies about the threshold, passages that many share, ids with several texts and repeated rows."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    passage = [r.choice(words) for _ in range(60)]
+    bases = [[r.choice(words) for _ in range(r.randrange(5, 150))] for _ in range(8)]
+    out = []
+    for i in range(n):
+        t = list(r.choice(bases))
+        for _ in range(r.randrange(0, max(2, len(t) // 25))):
+            t[r.randrange(len(t))] = r.choice(words)
+        if r.random() < 0.4:
+            t = passage[: r.randrange(20, 60)] + [r.choice(words) for _ in range(r.randrange(5, 40))]
+        out.append((i, " ".join(t)))
+    out += [(r.randrange(n), r.choice(out)[1]) for _ in range(n // 5)]
+    return out
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    rows = near_copies(1, 150)
+    got = Counter(tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == brute_components(rows)
+    b, a = " ".join(f"b{i}" for i in range(30)), " ".join(f"a{i}" for i in range(60))
+    rows = [(1, b), (3, a), (3, b), (7, a + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs).collect()} == {1: 1, 3: 1, 7: 1}
+    assert [r["doc_id"] for r in ngram_join.one_of_each(docs).collect()] == [1]
+
+
+def test_rare_shingles_find_every_link(spark):
+    """The second key alone, without the stars before it."""
+    rows = near_copies(5, 80)[:80]
+    reps = spark.createDataFrame(rows, "node long, text string")
+    near = [(r["key"], r["node"]) for r in ngram_join.sharing(ngram_join.by_shingle(reps)).collect()]
+    by = {}
+    for k, i in near:
+        by.setdefault(k, set()).add(i)
+    met = {(i, j) for v in by.values() for i in v for j in v if i < j}
+    sets = {i: shingles(t) for i, t in rows}
+    linked = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert linked and linked <= met and len(met) < len(sets) * (len(sets) - 1) / 4
 
 
 @pytest.mark.parametrize("size", [4, 5, 6, 9, 15, 16, 40, 200])
@@ -115,24 +161,24 @@ def brute_repeats(rows, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("variants", [2, 2000])
-def test_suffix_dedup(docs, empty, monkeypatch, variants):
-    monkeypatch.setattr(suffix_dedup, "VARIANTS", variants)
-    got = Counter(tuple(r) for r in suffix_dedup.dedup_report(docs).collect())
-    assert got == brute_repeats([(r[0], r[1]) for r in sample()], 200)
+def test_suffix_dedup(docs, empty):
+    want = brute_repeats([(r[0], r[1]) for r in sample()], 200)
+    for split in (2, 2000):
+        assert Counter(tuple(r) for r in suffix_dedup.dedup_report(docs, split=split).collect()) == want
     assert suffix_dedup.dedup_report(empty).count() == 0
-    assert suffix_dedup.deduplicated(docs).columns == docs.columns
+    clash = docs.selectExpr("doc_id", "text", "lang as _id", "key as _th", "n_tokens as _raw", "lang as _runs", "key as _0")
+    got = suffix_dedup.deduplicated(clash)
+    assert got.columns == clash.columns and {r["_raw"] for r in got.collect()} == {"clash", None}
 
 
-@pytest.mark.parametrize("variants", [3, 2000])
-def test_suffix_dedup_of_a_shared_passage(spark, monkeypatch, variants):
-    monkeypatch.setattr(suffix_dedup, "VARIANTS", variants)
+@pytest.mark.parametrize("split", [3, 2000])
+def test_suffix_dedup_of_a_shared_passage(spark, split):
     r = random.Random(8)
     passage = "".join(r.choice("abcdefg ") for _ in range(330))
     near = passage[:150] + "#" + passage[151:]
     rows = [(i, "".join(r.choice("xyz ") for _ in range(r.randrange(300))) + (near if i % 3 == 0 else passage[i % 7 :]) + "".join(r.choice("uvw ") for _ in range(r.randrange(300)))) for i in range(40)]
     rows += [(90, "ab" * 400), (91, "z" + "ab" * 200), (92, None)]
-    got = suffix_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = suffix_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string"), split=split)
     assert Counter(tuple(x) for x in got.collect()) == brute_repeats(rows, 200)
 
 
@@ -240,27 +286,96 @@ def test_short_and_prefixed_keys(spark):
     assert not any(key in got[i] for i in (1, 2, 3)) and got[4] == rows[3][1]
 
 
+def brute_entropy(t, base):
+    """Spans of runs by a fresh count of every window."""
+    masked = t
+    for word in secret_scan.ALLOWED:
+        masked = re.sub(word, " " * len(word), masked, flags=re.I)
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", masked):
+        x = m[0]
+        if not re.search("[0-9]", x) or not re.search("[A-Za-z]", x) or any(a <= m.start() and m.end() <= b for a, b in base):
+            continue
+        least = secret_scan.THRESHOLDS["hex" if re.fullmatch("[0-9a-fA-F]+", x) else "alnum" if re.fullmatch("[0-9A-Za-z]+", x) else "base64"]
+        hits = [i for i in range(len(x) - 19) if -sum(n / 20 * np.log2(n / 20) for n in Counter(x[i : i + 20]).values()) >= least - 1e-9]
+        if hits and not any(a <= m.start() + hits[0] and m.start() + hits[-1] + 20 <= b for a, b in base):
+            out.append((m.start() + hits[0], m.start() + hits[-1] + 20))
+    return out
+
+
+def test_entropy_spans(spark, empty):
+    r = random.Random(9)
+    letters = secret_scan.ALPHABET
+    rows = [(i, " ".join("".join(r.choice(letters[: r.choice([4, 8, 16, 62, 67])]) for _ in range(r.randrange(10, 90))) for _ in range(6))) for i in range(60)]
+    rows += [(100, "AB" * 30 + "1"), (101, "example" + "q8Zr+Lw2/Xc7Vb9Nm4Kj6H" + "0123456789"), (102, "\U0001f600 q8Zr+Lw2/Xc7Vb9Nm4Kj6Hg1 \U0001f600"), (103, None), (103, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {i: text_of(t) for i, t in rows}
+    for x in secret_scan.secret_report(docs).collect():
+        spans = [s.split(":") for s in x["spans"].split(",") if s]
+        base = [(int(a), int(b)) for k, a, b in spans if k != "entropy"]
+        assert [(int(a), int(b)) for k, a, b in spans if k == "entropy"] == brute_entropy(texts[x["doc_id"]], base)
+    assert secret_scan.secret_report(empty).count() == secret_scan.redacted(empty).count() == 0
+
+
+def test_secrets_in_very_long_texts_and_clashing_columns(spark):
+    key = "q8Zr+Lw2/Xc7Vb9Nm4Kj6H"
+    long = ["/a" * 500_000 + "/9b", "z" * 1_000_000, "y1" * 200_000, " " * 500_000 + f"id {key}", "/a" * 5000 + "/9b"]
+    docs = spark.createDataFrame([(i, t, "x", "y", "z", "w") for i, t in enumerate(long)], "doc_id long, text string, base_spans string, all_spans string, spans string, _1 string")
+    got = secret_scan.redacted(docs)
+    assert got.columns == docs.columns
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert rows[3]["text"].endswith("id [secret]") and rows[1]["text"] == long[1]
+    assert all((r["base_spans"], r["all_spans"], r["spans"], r["_1"]) == ("x", "y", "z", "w") for r in rows.values())
+
+
 def test_packing(docs, empty):
+    """Every piece holds the library's ids from its start on; pieces part each document and fill sequences gaplessly."""
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     theirs = Tokenizer.from_file(path)
-    want = Counter((r[0], len(theirs.encode(text_of(r[1]), add_special_tokens=False).ids) + 1) for r in sample())
-    rows = packing.packed(docs, path).collect()
-    assert set((r["doc_id"], r["doc_tokens"]) for r in rows) == set(want)
-    assert sum(r["length"] for r in rows) == sum(n * k for (_, n), k in want.items())
+    long = [(1000 + i, " ".join(f"w{j}" for j in range(n)), "en", "k", "c") for i, n in enumerate((700, 1365, 2000, 4000, 9000))]
+    table = docs.unionByName(docs.sparkSession.createDataFrame(long, SCHEMA)).repartition(3)
+    want: dict = {}
+    for i, t, *_ in [*sample(), *long]:
+        want.setdefault(i, []).append([*theirs.encode(text_of(t), add_special_tokens=False).ids, 1])
+    rows = packing.packed(table, path).collect()
+    crc = lambda ids: zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+    left = Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows)
     by: dict = {}
     for r in rows:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert any(crc(ids[r["start"] : r["start"] + r["length"]]) == r["ids_crc32"] and len(ids) == r["doc_tokens"] for ids in want[r["doc_id"]])
+    for i, all_ids in want.items():
+        for ids in all_ids:  # rows of one id follow one another from 0 to their end
+            at = 0
+            while at < len(ids):
+                piece = next(p for p in left if p[0] == i and p[1] == at and p[4] == len(ids) and p[3] == crc(ids[at : at + p[2]]) and left[p] > 0)
+                left[piece] -= 1
+                at += piece[2]
+            assert at == len(ids)
+    assert not sum(left.values())
+    fills = []
     for spans in by.values():
         at = 0
         for o, n in sorted(spans):
             assert o == at
             at += n
-        assert at <= 2048
+        fills.append(at)
+    assert sum(x < 2048 for x in fills) <= 1 and max(fills) <= 2048
     assert packing.packed(empty, path).count() == 0
 
 
+def test_words_are_remembered_within_bytes():
+    from vanefold.llm.word_ids import Remembered
+
+    made = []
+    r = Remembered(lambda w: made.append(w) or w.encode(), limit=3000)
+    for _ in range(3):
+        assert [r[f"w{i}"] for i in range(40)] == [f"w{i}".encode() for i in range(40)]
+    assert len(r) <= 25 and len(made) > 40
+
+
 def test_fingerprints(docs, empty):
     rows = fingerprints.edited_fingerprints(docs).collect()
     order = sorted(sample(), key=lambda r: (r[0] is None, -(r[0] or 0), text_of(r[1])))

@@ -11,8 +11,9 @@ QUANTILE less their median, in log perplexity) above that quantile. Both quantil
 weigh n / (n + PRIOR) against those of all texts, whatever n is; null languages and those without trusted texts take
 the latter. Short texts vary more: the spread is widened by 1 + SHORT / characters.
 
-Null and empty texts have no perplexity and are rejected. Without trusted texts nothing is known, and every other text
-is kept. Repeated rows are judged each.
+Null and empty texts have no perplexity and are rejected, with trusted texts or without. Without trusted texts nothing
+is known, and every other text is kept. A perplexity equal to the threshold is kept. Repeated rows are judged each.
+Empty tables give empty ones. Extra columns, whatever their names, are passed through.
 """
 
 from __future__ import annotations
@@ -25,12 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vanefold.llm.common import limit_batches, steps, within, written
+from vanefold.llm.common import limit_batches, scratch, small, steps, written
 
 SYMBOLS, ORDER = 48, 4
 QUANTILE, MARGIN, SHORT, PRIOR = 0.99, 0.5, 100.0, 50.0
-#: Up to so many trusted ids are broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 _START = 41  # texts begin after line ends
 
 
@@ -132,8 +131,7 @@ def model(trusted: DataFrame) -> np.ndarray | None:
 def with_trust(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """docs with _trusted: whether all labels of the id say good and none toxic."""
     ids = labels.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("_trusted")).filter("_trusted")
-    ids = F.broadcast(ids) if within(ids, BROADCAST_IDS) else ids
-    return docs.join(ids, F.col(doc_id) == F.col("_id"), "left").drop("_id").withColumn("_trusted", F.coalesce("_trusted", F.lit(False)))
+    return docs.join(small(ids), F.col(doc_id) == F.col("_id"), "left").drop("_id").withColumn("_trusted", F.coalesce("_trusted", F.lit(False)))
 
 
 def perplexities(docs: DataFrame, log_p: np.ndarray | None, text: str = "text") -> DataFrame:
@@ -160,37 +158,38 @@ def perplexities(docs: DataFrame, log_p: np.ndarray | None, text: str = "text")
 
 
 def judged(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all, by default) of docs with perplexity, threshold and kept."""
+    """The columns `keep` (all, by default) of docs with perplexity, threshold and kept.
+
+    Texts are read to train, to score the trusted ones for the thresholds, and to score all; they are never moved.
+    """
     spark = docs.sparkSession
     keep = keep or docs.columns
-    own = docs.select([F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)])  # names of extra columns can't clash
-    at = {c: f"_{i}" for i, c in enumerate(docs.columns)}
-    own = own.withColumnsRenamed({at["doc_id"]: "doc_id", at["text"]: "text"})
-    at |= {"doc_id": "doc_id", "text": "text"}
+    at = {c: f"_{i}" for i, c in enumerate(docs.columns)} | {"doc_id": "doc_id", "text": "text"}  # names of extra columns can't clash
+    own = docs.select([F.col(f"`{c}`").alias(at[c]) for c in docs.columns])
     told = with_trust(own, labels)
-    log_p = model(told.filter("_trusted").select("text"))
-    need = list(dict.fromkeys([*(at[c] for c in keep), "doc_id", *([at["lang"]] if "lang" in at else []), "_trusted"]))
-    scored = perplexities(told.select(*need, *(["text"] if "text" not in need else [])), log_p)
     lang = F.col(at["lang"]) if "lang" in at else F.lit(None)
-    length = F.char_length("text")
-    scored = scored.select(*need, "perplexity", lang.cast("string").alias("_lang"), F.log("perplexity").alias("_log"), (1 + SHORT / F.greatest(length, F.lit(1))).alias("_wide"))
-    scored = written(scored, spark)
-    quantiles = [F.count("*").alias("_n"), F.percentile_approx("_log", [0.5, QUANTILE], 10_000).alias("_q")]
-    trusted = scored.filter("_trusted and _log is not null")
-    whole = trusted.agg(*quantiles).first()
+    with scratch(spark) as out:
+        log_p = model(told.filter("_trusted").select("text"))
+        trusted = told.filter("_trusted").select(lang.cast("string").alias("_lang"), "text")
+        trusted = written(perplexities(trusted, log_p).select("_lang", F.log("perplexity").alias("_log")).filter("_log is not null"), spark)
+        quantiles = [F.count("*").alias("_n"), F.percentile_approx("_log", [0.5, QUANTILE], 10_000).alias("_q")]
+        whole = trusted.agg(*quantiles).first()
+        by_lang = out(trusted.filter("_lang is not null").groupBy("_lang").agg(*quantiles))
+    need = list(dict.fromkeys([at[c] for c in keep]))
+    rows = told.select(*need, lang.cast("string").alias("_lang"), *(["text"] if "text" not in need else []))
+    scored = perplexities(rows, log_p).withColumn("_length", F.char_length(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     if whole["_n"]:
-        by_lang = trusted.filter("_lang is not null").groupBy("_lang").agg(*quantiles)
-        by_lang = F.broadcast(by_lang) if within(by_lang, 100_000) else by_lang
-        own = F.coalesce(F.col("_n") / (F.col("_n") + PRIOR), F.lit(0.0))
-        q = [F.lit(float(x)) + own * (F.coalesce(F.col("_q")[i], F.lit(float(x))) - float(x)) for i, x in enumerate(whole["_q"])]
-        limit = q[1] + MARGIN * (q[1] - q[0]) * F.col("_wide")
-        scored = scored.join(by_lang, "_lang", "left").withColumn("threshold", F.exp(limit))
+        scored = scored.join(small(by_lang, 100_000), "_lang", "left")
+        weight = F.coalesce(F.col("_n") / (F.col("_n") + PRIOR), F.lit(0.0))
+        q = [F.lit(float(x)) + weight * (F.coalesce(F.col("_q")[i], F.lit(float(x))) - float(x)) for i, x in enumerate(whole["_q"])]
+        limit = q[1] + MARGIN * (q[1] - q[0]) * (1 + SHORT / F.greatest(F.col("_length"), F.lit(1)))
+        scored = scored.withColumn("threshold", F.exp(limit))
         kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
     else:
         scored = scored.withColumn("threshold", F.lit(None).cast("double"))
-        kept = F.char_length("text") > 0 if "text" in need else F.col("_wide") <= 1 + SHORT
+        kept = F.col("_length") > 0
     back = [F.col(at[c]).alias(c) for c in keep if c not in ("perplexity", "threshold", "kept")]
-    return scored.withColumn("kept", kept).select(*back, "perplexity", "threshold", "kept")
+    return scored.withColumn("_kept", kept).select(*back, "perplexity", "threshold", F.col("_kept").alias("kept"))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -200,4 +199,6 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with the columns they had."""
-    return judged(docs, labels).filter("kept").select([F.col(f"`{c}`") for c in docs.columns])
+    at = {c: c if c in ("doc_id", "text", "lang") else f"_own{i}" for i, c in enumerate(docs.columns)}  # a column of docs may be called kept
+    told = judged(docs.select([F.col(f"`{c}`").alias(at[c]) for c in docs.columns]), labels)
+    return told.filter("kept").select([F.col(at[c]).alias(c) for c in docs.columns])

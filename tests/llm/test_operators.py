@@ -201,7 +201,52 @@ def test_quality(spark, docs, empty):
     kept = {x["doc_id"] for x in quality.good_documents(table, labels).collect()}
     assert kept >= set(range(100, 180)) and not kept & {500, 501}
     assert quality.good_documents(empty, labels).count() == 0
-    assert quality.quality_report(docs, labels.limit(0)).count() == len(sample())
+    for some in (labels, labels.limit(0)):  # with a model and without one
+        told = quality.quality_report(docs, some).collect()
+        assert len(told) == len(sample()) and not any(x["kept"] for x in told if x["doc_id"] in (30, 31))
+        kept = quality.good_documents(docs, some)
+        assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()} == {x["doc_id"] for x in told if x["kept"]}
+
+
+def brute_kneser_ney(texts, order=quality.ORDER, symbols=quality.SYMBOLS):
+    """Log probability of a symbol after a context, from counts in dictionaries."""
+    def coded(t):
+        return tuple(int(quality._CLASSES[min(ord(c), 0x3000)]) for c in "\n" * (order - 1) + t)
+
+    grams = {order: Counter(s[i : i + order] for s in map(coded, texts) for i in range(len(s) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    discounts = {}
+    for k, c in grams.items():
+        n = Counter(min(x, 4) for x in c.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        raw = (1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 1.0, 3 - 4 * y * n[4] / n[3] if n[3] else 1.5)
+        discounts[k] = [min(max(x, 0.05), i + 0.95) for i, x in enumerate(raw)]
+    def p(gram):
+        if not gram:
+            return 1 / symbols
+        c, d = grams[len(gram)], discounts[len(gram)]
+        after = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(gram[1:])
+        total, off = sum(after.values()), sum(d[min(n, 3) - 1] for n in after.values())
+        own = after.get(gram, 0)
+        return (own - d[min(own, 3) - 1] if own else 0) / total + off / total * p(gram[1:])
+
+    def perplexity(t):
+        s = coded(t)
+        return float(np.exp(-np.mean([np.log(p(s[i : i + order])) for i in range(len(s) - order + 1)])))
+
+    return perplexity
+
+
+def test_perplexities_are_those_of_kneser_ney(spark):
+    texts = ["The cat sat on the mat, and ran.", "Élan: 12 cats!\nThe dog sat.", "and the cat ran on"]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, "zz 日本 top cat"])], "doc_id long, text string, lang string")
+    want = brute_kneser_ney(texts)
+    for r in quality.judged(docs, labels).collect():
+        assert abs(r["perplexity"] / want(r["text"]) - 1) < 1e-4
 
 
 def test_thresholds_move_smoothly(spark):
@@ -256,13 +301,38 @@ def test_html(spark):
 
 
 def test_html_chrome_inside_articles(spark):
-    """A container that recurs inside the articles of a host goes; copied bodies and paragraphs stay."""
-    page = "<main><article><div>Get our letter</div><div><p>A longest block of its own on page {i}, with words.</p><p>Copied line</p></div></article></main>"
+    """A container that recurs inside the articles of a host goes; copied bodies, paragraphs and headings stay."""
+    page = "<main><article><div>Get our letter</div><h2 id='related-work'>Work</h2><p class='notice-board'>Board</p><section id='sharing-data'>Data {i}</section><div class='comments'>Me {i}</div><div><p>A longest block of its own on page {i}, with words.</p><p>Copied line</p></div></article></main>"
     rows = [(i, f"http://h.example/{i}", page.format(i=i)) for i in range(4)]
     rows += [(10 + i, f"http://g.example/{i}", "<article><div><p>One body that several pages copy whole</p></div></article>") for i in range(4)]
+    rows += [(20, "http://q.example", '<p class="open>first</p><p>second</p>')]
     got = {r["page_id"]: (r["text"], r["n_template"]) for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[2] == ("A longest block of its own on page 2, with words. Copied line", 1)
+    assert got[2] == ("Work Board Data 2 A longest block of its own on page 2, with words. Copied line", 1)
     assert got[11] == ("One body that several pages copy whole", 0)
+    assert got[20][0] == "first second"
+
+
+def test_html_templates_without_articles(spark):
+    """Pages of plain containers, against a count in dictionaries; with repeated rows, a long page, no rows and other columns."""
+    r = random.Random(4)
+    bars = ["Home News About", "All rights reserved", "Follow us today"]
+    rows, parts = [], {}
+    for i in range(60):
+        own = [f"Paragraph {i} {j} " + " ".join(r.choice(["of", "text", "that", "is", "its", "own"]) for _ in range(12)) for j in range(3 if i else 4000)]
+        mine = [b for b in bars if r.random() < 0.5] + ["Seen twice"] * (i in (5, 25))
+        parts[i] = (f"host{i % 2}", mine, own)
+        rows.append((i, f"http://host{i % 2}.example/{i}", "".join(f"<div><span>{b}</span></div>" for b in mine) + "".join(f"<div>{p}</div>" for p in own), "clash", "clash"))
+    pages = spark.createDataFrame([*rows, rows[7]], "page_id long, url string, html string, text string, page string")
+    seen = Counter((h, b) for h, mine, _ in parts.values() for b in mine)
+    got = html_text.main_text(pages).collect()
+    assert len(got) == 61
+    for x in got:
+        h, mine, own = parts[x["page_id"]]
+        stay = [b for b in mine if seen[h, b] < html_text.TEMPLATE_PAGES]
+        assert x["text"] == " ".join([*stay, *own]) and x["n_template"] == len(mine) - len(stay) and x["n_chars"] == len(x["text"])
+    counted = {(t["host"], t["n_pages"]) for t in html_text.templates(html_text.subtrees(pages)).collect()}
+    assert counted == {(f"{h}.example", n) for (h, _), n in seen.items() if n >= html_text.TEMPLATE_PAGES}
+    assert html_text.main_text(pages.limit(0)).count() == 0
 
 
 def test_secrets(docs):

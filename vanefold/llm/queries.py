@@ -91,5 +91,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Links are counted pair by pair and followed by recursion: for small tables only.
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM words
+), classes AS (
+    SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS h FROM sets
+), named AS (
+    SELECT doc_id, n, CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY n, h) END AS class_id FROM classes
+), grams AS (
+    SELECT doc_id, unnest(s) AS g FROM sets WHERE doc_id IN (SELECT class_id FROM named WHERE n > 0)
+), met AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM met JOIN named x ON x.doc_id = a JOIN named y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), edges AS (
+    SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+    SELECT DISTINCT class_id AS a, class_id AS b FROM named UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a
+), least AS (
+    SELECT a, min(b) AS component FROM reach GROUP BY a
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component AS component_id, class_id FROM named JOIN least ON least.a = class_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_ngram_jaccard_join": OP2_SQL}

@@ -45,16 +45,35 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T
 
 
-def lloyd(x: np.ndarray, n: int, rounds: int, renormalize: bool = False) -> np.ndarray:
-    """Centroids after so many rounds from evenly spaced rows; an empty cell keeps its centroid."""
+def spread(x: np.ndarray, n: int, seed: int = 1) -> np.ndarray:
+    """k-means++ starts: each next row is drawn by its squared distance from the nearest one drawn before."""
+    r = np.random.default_rng([seed, len(x), n])
+    at = [int(r.integers(len(x)))]
+    near = ((x - x[at[0]]) ** 2).sum(1)
+    for _ in range(1, n):
+        total = near.sum()
+        at.append(int(np.searchsorted(np.cumsum(near), r.random() * total)) if total > 0 else int(r.integers(len(x))))
+        at[-1] = min(at[-1], len(x) - 1)
+        near = np.minimum(near, ((x - x[at[-1]]) ** 2).sum(1))
+    return x[at].copy()
+
+
+def lloyd(x: np.ndarray, n: int, rounds: int, renormalize: bool = False, plus_plus: bool = False) -> np.ndarray:
+    """Centroids after so many rounds, from evenly spaced rows or k-means++ starts.
+
+    An empty cell takes the row that is farthest from its own centroid, so no cell stays empty while rows differ.
+    """
     n = min(n, len(x))
-    c = x[np.arange(n) * len(x) // max(n, 1)].copy()
+    c = spread(x, n) if plus_plus and n else x[np.arange(n) * len(x) // max(n, 1)].copy()
     for _ in range(max(rounds, 1)):
-        near = distances(x, c).argmin(1)
+        d = distances(x, c)
+        near = d.argmin(1)
         size = np.bincount(near, minlength=n)
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         c[size > 0] = total[size > 0] / size[size > 0, None]
+        for cell, row in zip(np.flatnonzero(size == 0), np.argsort(-d[np.arange(len(x)), near], kind="stable"), strict=False):
+            c[cell] = x[row]
         if renormalize:
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-30)
     return c
@@ -83,7 +102,7 @@ class Codebooks:
             y = x @ own.turn.T
             own = Codebooks([lloyd(p, min(ksub, 256), rounds) for p in np.split(y, m, axis=1)], own.turn)
             if i < turns:
-                u, _, vt = np.linalg.svd(x.T @ own.decode(own.encode(x), False))
+                u, _, vt = np.linalg.svd(cross_gram(x, own.decode(own.encode(x), False)))
                 own = Codebooks(own.books, vt.T @ u.T)
         return own
 
@@ -143,7 +162,14 @@ class BitCells:
         return -(inner + oc[None, :] + (q @ c)[:, None] - c @ c)
 
 
-Cells = ProductCells | BitCells
+def code_distance(books: Codebooks) -> np.ndarray:
+    """SDC: squared L2 between all codes of each part, (part, code, code)."""
+    return np.stack([((b[:, None, :] - b[None, :, :]) ** 2).sum(2) for b in books.books])
+
+
+def cross_gram(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The sum over rows of the outer products of x and y, what the rotation of OPQ is fitted to."""
+    return x.T @ y
 
 
 def encoded(rows: DataFrame, cells: Cells) -> DataFrame:
@@ -228,32 +254,68 @@ def widened(rows: DataFrame, cells: Cells, k: int, n_probe: int, oversample: int
     return n_probe, oversample
 
 
+class Int8Cells:
+    """int8 codes with a scale and the squared norm a row; queries are coded alike."""
+
+    fields = (("codes", pa.binary()), ("scale", pa.float64()), ("sqnorm", pa.float64()))
+
+    def __init__(self, centroids: np.ndarray, metric: Metric):
+        self.centroids, self.metric = centroids, metric
+
+    @staticmethod
+    def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, scales, squared norms); codes are rounded half away from zero."""
+        scale = np.abs(x).max(1) / 127 if x.size else np.zeros(len(x))
+        scale[scale == 0] = 1.0
+        y = x / scale[:, None]
+        return np.clip(np.sign(y) * np.floor(np.abs(y) + 0.5), -127, 127).astype(np.int8), scale, (x * x).sum(1)
+
+    def encode(self, x: np.ndarray, cell: np.ndarray) -> list[pa.Array]:
+        codes, scale, norms = self.coded(x)
+        return [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(norms)]
+
+    def keys(self, q: np.ndarray, cell: int, rows: dict[str, pa.Array]) -> np.ndarray:
+        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), dtype=np.int8).reshape(len(rows["codes"]), -1).astype(np.float64)
+        scale, norms = rows["scale"].to_numpy(), rows["sqnorm"].to_numpy()
+        qc, qs, qn = self.coded(q)
+        inner = (qc.astype(np.float64) @ codes.T) * qs[:, None] * scale[None, :]
+        return qn[:, None] + norms[None, :] - 2 * inner if self.metric is Metric.L2 else -inner
+
+
+Cells = ProductCells | BitCells | Int8Cells
 Built = tuple[DataFrame, Cells]
 
 
-def _centres(x: np.ndarray, n_cells: int, rounds: int, metric: Metric) -> np.ndarray:
+def centroids(x: np.ndarray, n_cells: int, rounds: int, metric: Metric) -> np.ndarray:
     """n_cells 0 stands for the root of the number of rows."""
     n = n_cells or max(1, int(len(x) ** 0.5))
-    return lloyd(x, n, rounds, metric is Metric.COSINE) if n > 1 else x.mean(0, keepdims=True)
+    return lloyd(x, n, rounds, metric is Metric.COSINE, True) if n > 1 else x.mean(0, keepdims=True)
 
 
 def rabitq(collection: DataFrame, metric: Metric, n_cells: int = 1, rounds: int = 12, seed: int = 1) -> Built:
     """One cell around the mean, or several (IVF+RaBitQ)."""
     rows = ready(collection, metric)
     x = sampled(rows)
-    cells = BitCells(_centres(x, n_cells, rounds, metric), rotation(x.shape[1], seed), metric)
+    cells = BitCells(centroids(x, n_cells, rounds, metric), rotation(x.shape[1], seed), metric)
     return encoded(rows, cells), cells
 
 
 def ivf_pq(collection: DataFrame, metric: Metric, n_cells: int = 0, m: int = 16, ksub: int = 256, rounds: int = 15) -> Built:
     rows = ready(collection, metric)
     x = sampled(rows)
-    centres = _centres(x, n_cells, rounds, metric)
+    centres = centroids(x, n_cells, rounds, metric)
     rest = x - centres[distances(x, centres).argmin(1)]
     cells = ProductCells(centres, Codebooks.fitted(rest, m, ksub, rounds), metric)
     return encoded(rows, cells), cells
 
 
+def ivf(collection: DataFrame, metric: Metric, n_cells: int = 0, rounds: int = 12) -> Built:
+    """Inverted-file cells of int8 codes; their candidates are scored exactly when a search oversamples."""
+    rows = ready(collection, metric)
+    cells = Int8Cells(centroids(sampled(rows), n_cells, rounds, metric), metric)
+    return encoded(rows, cells), cells
+
+
 def opq(collection: DataFrame, metric: Metric, m: int = 16, ksub: int = 256, rounds: int = 20, turns: int = 4) -> Built:
     rows = ready(collection, metric)
     x = sampled(rows)

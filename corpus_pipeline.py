@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vanefold.llm.common import table, written
+from vanefold.llm.common import scratch, table, written
 from vanefold.llm.ngram_join import one_of_each
 from vanefold.llm.packing import packed
 from vanefold.llm.quality import good_documents
@@ -59,6 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), spark)
-    return docs
+    with scratch(spark) as out:  # what stages leave to the next one is deleted at the end
+        for _, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), spark)
+        return out(STAGES[-1][1](spark, docs, sf_dir))

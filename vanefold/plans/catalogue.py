@@ -18,7 +18,7 @@ from vanefold.sources.shared import shared_folder
 
 DIM, K = 64, 10
 #: What the plain approximate searches probe (of 8 cells) and rerank (times K), so that recall stays above 0.9 on 2,000 rows.
-PROBES, HAMMING_OVER, PQ_OVER = 6, 48, 96
+PROBES, HAMMING_OVER, PQ_OVER = 7, 48, 128
 COS, DOT, L2 = Metric.COSINE, Metric.DOT, Metric.L2
 
 
@@ -115,7 +115,7 @@ def _recalls(q: DataFrame, v: DataFrame) -> DataFrame:
         "diskann": lambda: _guided(q, v, 128),
         "hnsw": lambda: layered.hnsw_search(q, layered.hnsw(v, COS), K, COS),
         "hnsw-q": lambda: layered.hnsw_search(q, layered.hnsw(v, COS, int8=True), K, COS, int8=True),
-        "ivf": lambda: kernels.cell_search(q, *kernels.ivf(v, COS), K, 16, 4),
+        "ivf": lambda: kernels.cell_search(q, *kernels.ivf(v, COS), K, 30, 4),
     }
     each = [search.recall(f(), want).select(F.lit(name).alias("index"), (F.col("recall") >= 0.9).alias("reached")) for name, f in asked.items()]
     return reduce(DataFrame.unionByName, each)
@@ -185,7 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hnsw_int8_exhaustive": _searcher(lambda q, v: layered.hnsw_search(q, layered.hnsw(v, COS, int8=True), K, COS, layered.SHARD * 2, int8=True)),
     "diskann_search": _searcher(lambda q, v: _guided(q, v, 128)),
     "diskann_exhaustive": _searcher(lambda q, v: _guided(q, v, layered.SHARD * 2)),
-    "ivf_int8_search": _searcher(lambda q, v: kernels.cell_search(q, *kernels.ivf(v, COS), K, 16, 4)),
+    "ivf_int8_search": _searcher(lambda q, v: kernels.cell_search(q, *kernels.ivf(v, COS), K, 30, 4)),
     "ivf_int8_exhaustive": _searcher(lambda q, v: kernels.cell_search(q, *kernels.ivf(v, COS), K, 10_000, 10_000)),
     "stored_flat": _stored,
     "ann_recall": _searcher(_recalls),

@@ -8,7 +8,8 @@ similarity as (p - c) / (1 - c) with c = 2^-BITS, the share that agrees by chanc
 
 Null and empty texts, and texts without words, have the fingerprint ''. Equal fingerprints (the empty ones too) have
 likeness 1, an empty one and another 0. Rows follow one another by descending doc_id, of equal ids by their text; null
-ids come last. The row after the last is the first, so a single row is its own next one.
+ids come last. The row after the last is the first, so a single row is its own next one. Repeated rows give a row each;
+an empty table gives an empty one. Texts of any length are taken whole, and no column but the id and the text is read.
 """
 
 from __future__ import annotations
@@ -114,50 +115,54 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-#: Rows that share a bucket of the order of ids, about.
-BUCKET_ROWS, MOST_BUCKETS = 2500, 4096
+#: Bytes of text in a range of ids, about; the number of ranges grows with the texts.
+RANGE_BYTES = 32 << 20
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
+def id_ranges(keys: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least, greatest) key of each of about k ranges of as many rows, ascending; equal keys share a range.
+
+    Spark deals the keys alone to range partitions, and one row of each comes to the driver.
+    """
+    dealt = keys.repartitionByRange(k, "key").select("key", F.spark_partition_id().alias("part"))
+    got = sorted((r["low"], r["top"]) for r in dealt.groupBy("part").agg(F.min("key").alias("low"), F.max("key").alias("top")).collect())
+    low, top = (np.array([x[i] for x in got], dtype=np.int64) for i in (0, 1))
+    return low, top
+
+
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Rows (doc_id, text, bucket, more), sorted in partitions so that each row's next one by descending id follows it.
 
-    Ids are dealt to buckets by approximate quantiles, at most MOST_BUCKETS of them, so the driver holds only their
-    bounds. The first row of each bucket is also sent to the bucket before it, with more = 1. Texts are shuffled once.
+    Ids are dealt to ranges, the buckets. The first row of each range is also sent to the range before it, with
+    more = 1. Texts are shuffled once. Rows that repeat an id share a range, as their order is by their texts.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    n = d.count()
-    k = int(max(1, min(MOST_BUCKETS, n // BUCKET_ROWS)))
-    bounds: list[int] = []
-    if k > 1:
-        got = d.select(F.percentile_approx(key, [i / k for i in range(1, k)], 20 * k).alias("q")).first()["q"]
-        bounds = sorted({int(x) for x in got or []})
-    held = np.array(bounds, dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(held) - np.searchsorted(held, ids.to_numpy(dtype=np.int64), side="right")).astype("int32")
-
-    ids = d.select(key.alias("key")).withColumn("bucket", bucket("key"))
-    firsts = sorted((r["bucket"], r["top"]) for r in ids.groupBy("bucket").agg(F.max("key").alias("top")).collect())
-    if not firsts:
-        return d.select("doc_id", "text", F.lit(0).alias("bucket"), F.lit(0).alias("more")), []
-    goes = {top: firsts[i - 1][0] for i, (_, top) in enumerate(firsts)}  # the first one's goes to the last bucket
-    to = F.create_map(*[x for top, b in goes.items() for x in (F.lit(top), F.lit(b))])
-    extra = d.filter(key.isin(list(goes)) if -(2**63) not in goes else key.isin(list(goes)) | F.col("doc_id").isNull()).select("doc_id", "text", to[key].cast("int").alias("bucket"), F.lit(1).alias("more"))
-    rows = d.select("doc_id", "text", bucket(key).alias("bucket"), F.lit(0).alias("more")).unionByName(extra)
-    parts = max(len(firsts), int(spark.conf.get("spark.sql.shuffle.partitions")) if len(firsts) > 1 else 1)
-    return rows.repartition(parts, "bucket").sortWithinPartitions(F.asc("bucket"), F.asc("more"), F.desc_nulls_last("doc_id"), F.asc("text")), ["bucket"]
+    size = d.agg(F.sum(F.octet_length("text").cast("long")).alias("size")).first()["size"] or 0
+    held = spark.sparkContext.broadcast(id_ranges(d.select(key.alias("key")), int(size // range_bytes) + 1))
+    ranges = len(held.value[0])
+
+    @F.pandas_udf("array<int>")
+    def buckets(ids: pd.Series) -> pd.Series:
+        low, top = held.value
+        keys = ids.to_numpy(dtype=np.int64)
+        at = np.searchsorted(low, keys, side="right") - 1
+        first = keys == top[at]  # by descending id; the range before it holds greater ids
+        return pd.Series([[x, (x + 1) % ranges] if y else [x] for x, y in zip(at.tolist(), first.tolist(), strict=True)])
+
+    rows = d.select("doc_id", "text", F.posexplode(buckets(key)).alias("more", "bucket"))
+    parts = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")) if ranges > 1 else 1)
+    return rows.repartition(parts, "bucket").sortWithinPartitions(F.asc("bucket"), F.asc("more"), F.desc_nulls_last("doc_id"), F.asc("text"))
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and of the next document."""
     limit_batches(docs.sparkSession)
-    rows, _ = with_next(docs)
+    rows = with_next(docs, range_bytes=range_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row that waits for its next one

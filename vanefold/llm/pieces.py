@@ -5,8 +5,12 @@ the handling of spaces, and byte fallback. A unigram model becomes the library's
 merges derived from the scores: a piece's rank is the order of its score, whichever two pieces it is joined from.
 
 Where no piece holds the space mark after another character, texts part exactly before a mark that follows one, and
-each distinct word is encoded once while it is remembered. All else is encoded by the library in multithreaded batches.
+each distinct word is encoded once while it is remembered; words not seen yet go through the library in multithreaded
+batches. With other models whole texts do. User-defined pieces are matched by score like others, not first, so models
+that have some are refused. `report` compares the ids of every text with those of the original library.
+
 Null and empty texts have no pieces. Texts of any length are encoded whole, and decode to their normalised form.
+Repeated rows give a row each; an empty table gives an empty one. No column but the id and the text is read.
 """
 
 from __future__ import annotations
@@ -103,12 +107,14 @@ class Model:
         return out
 
 
-def backend(model: Model):  # noqa: ANN201
-    """The library's tokenizer for a model."""
+def backend(model: Model, normalised: bool = False):  # noqa: ANN201
+    """The library's tokenizer for a model, of texts as they are or of texts that are normalised already."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
     unknown = next((i for i, p in enumerate(model.pieces) if p[2] == UNKNOWN), None)
+    if any(k == USER for _, _, k in model.pieces):
+        raise ValueError("models with user-defined pieces are not supported")
     if model.kind == 1:
         made = Tokenizer(models.Unigram([(p, s) for p, s, _ in model.pieces], unknown, model.byte_fallback))
     elif model.kind == 2:
@@ -125,7 +131,8 @@ def backend(model: Model):  # noqa: ANN201
         steps_.append(normalizers.Prepend(MARK if model.escape else " "))
     if model.escape:
         steps_.append(normalizers.Replace(" ", MARK))
-    made.normalizer = normalizers.Sequence(steps_)
+    if not normalised:
+        made.normalizer = normalizers.Sequence(steps_)
     made.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
     return made
 
@@ -136,6 +143,7 @@ class Codec:
     def __init__(self, path: str) -> None:
         self.model = Model.read(path)
         self.library = backend(self.model)
+        self.marked = backend(self.model, normalised=True)
         named = [p for p, _, k in self.model.pieces if k in (NORMAL, USER, UNUSED)]
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in named) and self.model.kind == 2 and not self.model.trim and self.model.escape and self.model.dummy_prefix and not self.model.charsmap
         newline = any("\n" in p for p in named)
@@ -148,9 +156,9 @@ class Codec:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = set().union(*pieces)
-        m = self.library.model
-        for p in new:
-            self.known[p] = np.array([t.id for t in m.tokenize(p)], dtype="<u4").tobytes()
+        words = list(new)
+        for p, e in zip(words, self.marked.encode_batch(words, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -198,15 +206,16 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text string")
 
 
-REPORT = "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, decoded_chars long, round_trip boolean"
+REPORT = "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, decoded_chars long, round_trip boolean, parity boolean"
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
-    """Pieces of every text, a checksum of its ids, and whether decoding them gives the text back."""
+    """Pieces of every text, a checksum of its ids, whether decoding them gives the text back, and parity: whether the
+    original library gives the same ids."""
     limit_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c, theirs = codec(path), original(path)
         for b in steps(batches):
             texts_ = b.column("text").to_pylist()
             ids = c.encode(texts_)
@@ -219,6 +228,7 @@ def report(docs: DataFrame, path: str) -> DataFrame:
                     pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                     pa.array([len(t) for t in back], pa.int64()),
                     pa.array([a == b_ for a, b_ in zip(back, texts_, strict=True)], pa.bool_()),
+                    pa.array([a == np.array(x, dtype="<u4").tobytes() for a, x in zip(ids, theirs.encode(texts_, num_threads=1), strict=True)], pa.bool_()),
                 ],
                 names=[x.split()[0] for x in REPORT.split(", ")],
             )
@@ -226,11 +236,16 @@ def report(docs: DataFrame, path: str) -> DataFrame:
     return texts(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInArrow(run, REPORT)
 
 
-def parity(texts_: list[str], path: str) -> list[int]:
-    """Indices of the texts that the original library encodes or decodes otherwise."""
+def original(path: str):  # noqa: ANN201
+    """The original library's model."""
     import sentencepiece
 
-    theirs = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def parity(texts_: list[str], path: str) -> list[int]:
+    """Indices of the texts that the original library encodes or decodes otherwise."""
+    theirs = original(path)
     ours = codec(path).encode(texts_)
     want = theirs.encode(texts_, num_threads=1)
     return [i for i, (a, b) in enumerate(zip(ours, want, strict=True)) if np.frombuffer(a, dtype="<u4").tolist() != b or codec(path).decode(a) != theirs.decode(b)]

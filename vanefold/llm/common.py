@@ -46,7 +46,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
         n = batch.num_rows
         if not n:
             continue
-        ends = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < n:
             before = ends[at - 1] if at else 0

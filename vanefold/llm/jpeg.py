@@ -351,6 +351,9 @@ def read_files(files: list[bytes]) -> list[tuple[Head, np.ndarray]]:
             starts.append(begins[offset : offset + n])
             cuts.append(n)
             offset += n
+            scan = joined[len(cuts) - 1]
+            if int(np.count_nonzero((scan[:-1] == 0xFF) & (scan[1:] & 0xF8 == 0xD0))) != n - 1:
+                raise ValueError("a broken scan")
         got = _step_decode(data, np.concatenate(starts), np.concatenate(counts), _units(heads[who[0]]), heads[who[0]].huffman)
         at = 0
         for i, n, c in zip(who, cuts, counts, strict=True):

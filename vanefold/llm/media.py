@@ -1,15 +1,19 @@
 """Media columns: texts stored without loss in baseline JPEG files, read back, with dimensions and thumbnail hashes.
 
 Null and empty texts are stored as one block of 64 zero bytes. Equal texts have equal files and features. Texts of any
-length are stored whole (a file holds up to 8191 x 8191 blocks, 4 GB).
+length are stored whole (a file holds up to 8191 x 8191 blocks, 4 GB). Files that are null, broken, progressive or not
+stored by this module have null payload columns and a null feature. Repeated rows give a row each; an empty table gives
+an empty one. No column but those named is read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +40,18 @@ def media_files(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return texts(docs.withColumn(doc_id, F.col(doc_id).cast("long")), doc_id).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+#: What reading a file raises that is no baseline JPEG of this module.
+BROKEN = (ValueError, IndexError, KeyError, StopIteration, struct.error)
+
+
+def read_stored(files: list[bytes]) -> list[tuple[jpeg.Head, np.ndarray, bytes] | None]:
+    """(head, coefficients, payload) of each file, None where it can't be read; one broken file doesn't stop the others."""
+    try:
+        return [(*r, jpeg.payload(*r)) for r in jpeg.read_files(files)]
+    except BROKEN:
+        return [read_stored([f])[0] for f in files] if len(files) > 1 else [None]
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """What the stored bytes of (doc_id, n_bytes, media) give when they are read back."""
     limit_batches(media.sparkSession)
@@ -43,18 +59,18 @@ def media_features(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "media"):
             files = b.column("media").to_pylist()
-            read = jpeg.read_files(files)
-            stored = [jpeg.payload(*r) for r in read]
+            read = read_stored([f or b"" for f in files])
+            stored = [r and r[2] for r in read]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
                     b.column("n_bytes"),
-                    pa.array([len(p) for p in stored], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in stored], pa.string()),
-                    pa.array([zlib.crc32(p[-jpeg.BLOCK :]) for p in stored], pa.int64()),
-                    pa.array([len(f) for f in files], pa.int64()),
-                    pa.array([hashlib.sha256(f).hexdigest() for f in files], pa.string()),
-                    pa.array([jpeg.feature(*r) for r in read], pa.string()),
+                    pa.array([None if p is None else len(p) for p in stored], pa.int64()),
+                    pa.array([None if p is None else hashlib.sha256(p).hexdigest() for p in stored], pa.string()),
+                    pa.array([None if p is None else zlib.crc32(p[-jpeg.BLOCK :]) for p in stored], pa.int64()),
+                    pa.array([None if f is None else len(f) for f in files], pa.int64()),
+                    pa.array([None if f is None else hashlib.sha256(f).hexdigest() for f in files], pa.string()),
+                    pa.array([r and jpeg.feature(r[0], r[1]) for r in read], pa.string()),
                 ],
                 names=[x.split()[0] for x in SCHEMA.split(", ")],
             )

@@ -278,16 +278,31 @@ def test_media(docs, empty):
     assert media.media_features(media.media_files(empty)).count() == 0
 
 
+def test_broken_media_have_nulls(spark):
+    a, b = jpeg.write_files([media.pad(b"first text " * 40), media.pad(b"second")])
+    files = [a, a[: len(a) // 2], None, b"no picture", b, a.replace(b"\xff\xc0", b"\xff\xc2")]
+    table = spark.createDataFrame([(i, 0, bytearray(f) if f is not None else None) for i, f in enumerate(files)], "doc_id long, n_bytes long, media binary").coalesce(1)
+    got = {r["doc_id"]: r for r in media.media_features(table).collect()}
+    assert [got[i]["feature"] is None for i in range(6)] == [False, True, True, True, False, True]
+    assert [got[i]["payload_sha256"] is None for i in range(6)] == [False, True, True, True, False, True]
+    assert got[0]["payload_sha256"] == hashlib.sha256(media.pad(b"first text " * 40)).hexdigest() and got[1]["media_bytes"] == len(a) // 2
+
+
 def test_jpeg_runs_of_zeros():
     payloads = [b"\x80" * 320, b"\x80" * 20 + b"a" + b"\x80" * 43, b"\x80" * 63 + b"z", bytes(64), bytes(range(256)) * 3, b"\xff" * 128]
     assert [jpeg.payload(*x) for x in jpeg.read_files(jpeg.write_files(payloads))] == payloads
 
 
-def test_pieces(docs):
+def test_pieces(docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     assert pieces.parity([text_of(r[1]) for r in sample()], path) == []
     back = {r["doc_id"]: r["text"] for r in pieces.decoded(pieces.encoded(docs, path), path).collect()}
     assert all(back[r[0]] == text_of(r[1]).replace("▁", " ") for r in sample())
+    theirs = pieces.original(path)
+    got = pieces.report(docs, path).collect()
+    want = Counter((r[0], len(theirs.encode(text_of(r[1]))), zlib.crc32(np.array(theirs.encode(text_of(r[1])), dtype="<u4").tobytes())) for r in sample())
+    assert Counter((r["doc_id"], r["n_pieces"], r["ids_crc32"]) for r in got) == want and all(r["parity"] for r in got)
+    assert pieces.report(empty, path).count() == pieces.encoded(empty, path).count() == 0
 
 
 PAGE = "<html><head><title>t</title></head><body><nav>menu</nav><div>{m}</div><div><p>Body &amp; text{i} that is the longest <b>bl</b>ock.<br>x<p>second{i}</div><div class='cookie-notice'>c</div><footer>f"
@@ -446,8 +461,9 @@ def test_words_are_remembered_within_bytes():
     assert len(r) <= 25 and len(made) > 40
 
 
-def test_fingerprints(docs, empty):
-    rows = fingerprints.edited_fingerprints(docs).collect()
+@pytest.mark.parametrize("range_bytes", [300, fingerprints.RANGE_BYTES])
+def test_fingerprints(docs, empty, range_bytes):
+    rows = fingerprints.edited_fingerprints(docs, range_bytes).collect()
     order = sorted(sample(), key=lambda r: (r[0] is None, -(r[0] or 0), text_of(r[1])))
     want = Counter()
     for i, r in enumerate(order):
@@ -455,4 +471,17 @@ def test_fingerprints(docs, empty):
         want[r[0], len(t), hashlib.sha256(fingerprints.edited(t, n).encode()).hexdigest()] += 1
     assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in rows) == want
     assert all(abs(fingerprints.fingerprint_likeness(r["fingerprint"], r["edited_fingerprint"]) - r["near_edited"]) < 1e-9 for r in rows)
-    assert fingerprints.edited_fingerprints(empty).count() == 0
+    assert fingerprints.edited_fingerprints(empty, range_bytes).count() == 0
+
+
+def test_likeness_is_near_the_true_similarity():
+    r = random.Random(6)
+    errors = []
+    for _ in range(150):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.randrange(40, 400))]
+        other = [w if r.random() < 0.97 else "x" + w for w in words]
+        a, b = " ".join(words), " ".join(other)
+        low, some = fingerprints.bins_of([a, b])
+        near = fingerprints.likeness(low[:1], some[:1], low[1:], some[1:])[0]
+        errors.append(abs(near - len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))))
+    assert np.mean(errors) < 0.03 and max(errors) < 0.12

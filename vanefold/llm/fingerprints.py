@@ -152,8 +152,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range
         return pd.Series([[x, (x + 1) % ranges] if y else [x] for x, y in zip(at.tolist(), first.tolist(), strict=True)])
 
     rows = d.select("doc_id", "text", F.posexplode(buckets(key)).alias("more", "bucket"))
-    parts = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")) if ranges > 1 else 1)
-    return rows.repartition(parts, "bucket").sortWithinPartitions(F.asc("bucket"), F.asc("more"), F.desc_nulls_last("doc_id"), F.asc("text"))
+    return rows.repartitionById(max(ranges, 1), "bucket").sortWithinPartitions(F.asc("bucket"), F.asc("more"), F.desc_nulls_last("doc_id"), F.asc("text"))
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -211,7 +211,7 @@ def test_quality(spark, docs, empty):
 def brute_kneser_ney(texts, order=quality.ORDER, symbols=quality.SYMBOLS):
     """Log probability of a symbol after a context, from counts in dictionaries."""
     def coded(t):
-        return tuple(int(quality._CLASSES[min(ord(c), 0x3000)]) for c in "\n" * (order - 1) + t)
+        return tuple("\n" * (order - 1) + t)
 
     grams = {order: Counter(s[i : i + order] for s in map(coded, texts) for i in range(len(s) - order + 1))}
     for k in range(order - 1, 0, -1):
@@ -245,8 +245,32 @@ def test_perplexities_are_those_of_kneser_ney(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, "zz 日本 top cat"])], "doc_id long, text string, lang string")
     want = brute_kneser_ney(texts)
-    for r in quality.judged(docs, labels).collect():
-        assert abs(r["perplexity"] / want(r["text"]) - 1) < 1e-4
+    for most in ("10m", "-1"):  # tables of the model broadcast, and shuffled
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            found = quality.judged(docs, labels).collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert len(found) == 4
+        for r in found:
+            assert abs(r["perplexity"] / want(r["text"]) - 1) < 1e-4
+
+
+def test_ngram_counts_survive_encoding():
+    r = random.Random(4)
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 20_000)))
+    for texts in (["", "a", "\0b\0", "aaaa" * 300, "zz 日本😀"], [many, "ab", many[::-1], "", *["x"] * 100], ["".join(map(chr, range(0x10000, 0x1F000)))], ["".join(r.choice("ab c") for _ in range(r.randrange(90))) for _ in range(300)]):
+        got = [Counter() for _ in texts]
+        for grams, starts, who, n in quality._grams(texts):
+            for g, a, z in zip(grams, starts, [*starts[1:], len(who)]):
+                for w, k in zip(who[a:z], n[a:z]):
+                    got[w][g] += int(k)
+        for t, c in zip(texts, got):
+            s = quality._PAD + t.replace("\0", "\ufffd")
+            assert c == Counter(s[i : i + quality.ORDER] for i in range(len(t)))
+    values = np.array([0, 1, 127, 128, 300, 2**14 - 1, 2**14, 2**31, 5])
+    data, size = quality._varints(values)
+    assert quality._values(data)[0].tolist() == values.tolist() and size.sum() == len(data)
 
 
 def test_thresholds_move_smoothly(spark):

@@ -240,12 +240,13 @@ def brute_kneser_ney(texts, order=quality.ORDER, symbols=quality.SYMBOLS):
     return perplexity
 
 
-def test_perplexities_are_those_of_kneser_ney(spark):
+def test_perplexities_are_those_of_kneser_ney(spark, monkeypatch):
     texts = ["The cat sat on the mat, and ran.", "Élan: 12 cats!\nThe dog sat.", "and the cat ran on"]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, "zz 日本 top cat"])], "doc_id long, text string, lang string")
     want = brute_kneser_ney(texts)
-    for most in ("10m", "-1"):  # tables of the model broadcast, and shuffled
+    for most in ("10m", "-1"):  # tables of the model and costs broadcast, and shuffled
+        monkeypatch.setattr(quality, "COSTS", 0 if most == "-1" else 1_000_000)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
         try:
             found = quality.judged(docs, labels).collect()

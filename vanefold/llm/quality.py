@@ -6,8 +6,8 @@ tables, which stay tables. A text's perplexity comes from joins of counts too: t
 and send them once a step of about STEP_BYTES of text, with the texts that have them and how often. The distinct n-grams
 of all texts are joined to the model's tables, from the highest order down to the first that has them, and the resulting
 cost of an n-gram joins the counts; sums by text are its cost. Costs are whole millionths of a nat, so sums are the same
-in any order and equal texts have equal perplexities. Which side of a join is broadcast is Spark's choice by size, as all
-tables of the model are written before.
+in any order and equal texts have equal perplexities. Costs are broadcast up to COSTS rows, and beyond them the counts are
+shuffled by n-gram; the tables of the model are written first, so that Spark broadcasts those below its own threshold.
 
 Trusted texts are all labelled good and not toxic. A text's perplexity is the exponential of its mean negative log
 probability a character. For each language, the threshold lies MARGIN times the spread of trusted texts (their quantile
@@ -40,6 +40,8 @@ QUANTILE, MARGIN, SHORT, PRIOR = 0.99, 0.5, 100.0, 50.0
 SYMBOLS = 0x110000
 #: Costs are whole numbers of this share of a nat.
 UNIT = 1e-6
+#: Rows of costs (about 80 bytes each) that are broadcast at most; more are joined by a shuffle of the counts.
+COSTS = 1_000_000
 _PAD = "\n" * (ORDER - 1)  # texts begin after line ends
 
 
@@ -275,7 +277,7 @@ def perplexities(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], kee
     if not levels:
         return docs.select(*keep, length, F.lit(None).cast("double").alias("perplexity"))
     found = written(costs(docs, levels, text), docs.sparkSession)
-    rows = incidences(docs.select("*", length), [*keep, "_length"], text).join(found, "gram", "left").select("step", "at", "texts", "counts", "cost", "row")
+    rows = incidences(docs.select("*", length), [*keep, "_length"], text).join(small(found, COSTS), "gram", "left").select("step", "at", "texts", "counts", "cost", "row")
     row = T.StructField("row", rows.schema["row"].dataType)
     summed = rows.mapInArrow(_summed, T.StructType([T.StructField("step", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("cost", T.LongType()), row]))
     whole = summed.groupBy("step", "at").agg(F.sum("cost").alias("_cost"), F.first("row", ignorenulls=True).alias("row"))

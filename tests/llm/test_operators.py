@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -274,6 +275,20 @@ def test_ngram_counts_survive_encoding():
     assert quality._values(data)[0].tolist() == values.tolist() and size.sum() == len(data)
 
 
+def test_ngram_counts_take_little_memory():
+    """Two tasks and the workers they feed share what an executor's heap leaves."""
+    r = random.Random(5)
+    texts = ["".join(r.choice("etaoin shrdlu") for _ in range(4000)) for _ in range(250)]
+    tracemalloc.start()
+    try:
+        for _ in quality._grams(texts):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 32 * 1_000_000
+
+
 def test_thresholds_move_smoothly(spark):
     """One trusted text more or less of a rare language moves its threshold a little, at any number of them."""
     r = random.Random(3)

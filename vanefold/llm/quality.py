@@ -64,20 +64,29 @@ def _grams(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray
             yield list(found), np.arange(len(found)), np.zeros(len(found), np.int64), np.array(list(found.values()))
         return
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    who = np.repeat(np.arange(len(texts)), sizes)
-    if not len(who):
+    if not sizes.any():
         return
-    rank = np.zeros(SYMBOLS, dtype=np.int64)
+    rank = np.zeros(SYMBOLS, dtype=np.uint32)
     rank[letters] = np.arange(len(letters))
     s = rank[points]
-    code = np.zeros(len(s) - ORDER + 1, dtype=np.int64)
+    del points, present, rank
+    key = np.zeros(len(s) - ORDER + 1, dtype=np.int64)  # arrays of a step's size: changed in place and dropped early, as a worker holds them all at once
     for i in range(ORDER):
-        code = code * len(letters) + s[i : len(s) - ORDER + 1 + i]
-    key = code[np.arange(len(who)) + who * (ORDER - 1)] * len(texts) + who  # a text's first character ends the n-gram that starts at its padding
+        key *= len(letters)
+        key += s[i : len(s) - ORDER + 1 + i]
+    del s
+    apart = len(_PAD)
+    key *= len(texts)
+    key += np.repeat(np.arange(len(texts), dtype=np.int32), sizes + apart)[: len(key)]
+    over = np.cumsum(sizes + apart)[:-1, None] - np.arange(apart, 0, -1)
+    key = np.delete(key, over.ravel())  # a text's first character ends the n-gram that starts at its padding
     key.sort()
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    n = np.diff(np.append(first, len(key)))
-    code, who = np.divmod(key[first], len(texts))
+    n = np.diff(first, append=len(key))
+    key = key[first]
+    del first
+    code, who = np.divmod(key, len(texts))
+    del key
     starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
     code, out = code[starts], np.empty((len(starts), ORDER), dtype=np.uint32)
     for i in reversed(range(ORDER)):
@@ -199,24 +208,23 @@ def incidences(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
             own = b.column("_row")
             yield pa.RecordBatch.from_arrays([pa.array([f"\0{step}/{j}" for j in range(m)], pa.string()), pa.array([step] * m, pa.int64()), pa.array(np.arange(m), pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), own], names=names)
             for grams, starts, who, n in _grams(b.column("_text").to_pylist()):
-                apart = np.diff(who, prepend=0)
-                apart[starts] = who[starts]
-                data, size = _varints(apart * 2 + (n > 1))
-                many, wide = _varints(n[n > 1])
-                of_many = np.zeros(len(n), dtype=np.int64)
-                of_many[n > 1] = wide
                 for lo in range(0, len(grams), 20_000):  # rows from lo to hi, their texts from a to z
                     hi = min(lo + 20_000, len(grams))
                     a, z = starts[lo], starts[hi] if hi < len(grams) else len(who)
-                    begins, k = starts[lo:hi] - a, hi - lo
-                    x, y = size[:a].sum(), of_many[:a].sum()
+                    begins, k, often = starts[lo:hi] - a, hi - lo, n[a:z] > 1
+                    apart = np.diff(who[a:z], prepend=0)
+                    apart[begins] = who[a:z][begins]
+                    data, size = _varints(apart * 2 + often)
+                    many, wide = _varints(n[a:z][often])
+                    of_many = np.zeros(z - a, dtype=np.int64)
+                    of_many[often] = wide
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(grams[lo:hi], pa.string()),
                             pa.array(np.full(k, step), pa.int64()),
                             pa.nulls(k, pa.int32()),
-                            _binary(data[x : x + size[a:z].sum()], np.add.reduceat(size[a:z], begins)),
-                            _binary(many[y : y + of_many[a:z].sum()], np.add.reduceat(of_many[a:z], begins)),
+                            _binary(data, np.add.reduceat(size, begins)),
+                            _binary(many, np.add.reduceat(of_many, begins)),
                             pa.nulls(k, own.type),
                         ],
                         names=names,

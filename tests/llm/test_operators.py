@@ -345,6 +345,26 @@ def test_pieces(docs, empty):
     assert pieces.report(empty, path).count() == pieces.encoded(empty, path).count() == 0
 
 
+def test_unseen_words_are_encoded_together():
+    r = random.Random(6)
+    words = list({"".join(r.choice("abcdeéñ日😀-1") for _ in range(r.randrange(1, 12))) for _ in range(5000)})
+    texts = [" ".join(words), "  two   marks " + "\nline\n\n x" * 3, "▁", " ", "\n", "a\n" + words[0], "\0\ud7ff " * 3, "y" * 3000 + " z"]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    c, sent = pieces.Codec(path), []
+
+    class Spy:
+        def __getattr__(self, name):
+            def call(batch, **kw):
+                sent.extend(batch)
+                return getattr(library, name)(batch, **kw)
+
+            return call
+
+    library, c.marked = c.marked, Spy()
+    assert c.encode(texts) == [np.array(x, dtype="<u4").tobytes() for x in pieces.original(path).encode(texts, num_threads=1)]
+    assert len(sent) < len(words) / 20
+
+
 PAGE = "<html><head><title>t</title></head><body><nav>menu</nav><div>{m}</div><div><p>Body &amp; text{i} that is the longest <b>bl</b>ock.<br>x<p>second{i}</div><div class='cookie-notice'>c</div><footer>f"
 
 

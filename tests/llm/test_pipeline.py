@@ -62,3 +62,26 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_workers_give_memory_back(spark):
+    """Idle workers hold no caches of the stages that are over."""
+    words = [f"word{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(words[i : i + 60])) for i in range(300)], "doc_id long, text string").repartition(4)
+    corpus_pipeline.packing(spark, docs, "").count()
+    corpus_pipeline.near_duplicates(spark, docs, "").count()
+    corpus_pipeline.repeated_passages(spark, docs, "").count()
+
+    def held(batches):
+        import time
+
+        import pyarrow as pa
+
+        from vanefold.llm import shingles, word_ids
+
+        time.sleep(1)  # so that the tasks meet all idle workers of near_duplicates
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(shingles._hashes)], pa.int64()), pa.array([len(word_ids._held)], pa.int64())], names=["words", "tokenizers"])
+
+    found = spark.range(0, 4, 1, 4).mapInArrow(held, "words long, tokenizers long").collect()
+    assert len(found) == 4 and {(r["words"], r["tokenizers"]) for r in found} == {(0, 0)}

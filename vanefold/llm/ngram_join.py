@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from vanefold.llm.common import limit_batches, scratch, small, steps, texts, written
+from vanefold.llm.common import lean, limit_batches, scratch, small, steps, texts, written
 from vanefold.llm.components import components
 from vanefold.llm.shingles import mix, shingle_sets
 
@@ -132,7 +132,7 @@ def described(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "th", "n_shingles", "d1", "d2", "sketch"],
             )
 
-    return docs.mapInArrow(run, SETS)
+    return docs.mapInArrow(lean(run), SETS)
 
 
 def _rows(docs: DataFrame, keys: Callable[[np.ndarray], list[tuple[np.ndarray, int]]]) -> DataFrame:
@@ -152,7 +152,7 @@ def _rows(docs: DataFrame, keys: Callable[[np.ndarray], list[tuple[np.ndarray, i
                 part = slice(at, at + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(flat[part]), pa.array(owner[part], pa.int64()), pa.array(tag[part], pa.int32())], names=["key", "node", "tag"])
 
-    return docs.select("node", "text").mapInArrow(run, "key long, node long, tag int")
+    return docs.select("node", "text").mapInArrow(lean(run), "key long, node long, tag int")
 
 
 def indexed(docs: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 found.append(linked(s, last[1]))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text").mapInArrow(lean(run), "a long, b long")
 
 
 def placed(shared: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, DataFrame]:

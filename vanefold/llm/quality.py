@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vanefold.llm.common import limit_batches, scratch, small, steps, written
+from vanefold.llm.common import lean, limit_batches, scratch, small, steps, written
 
 ORDER = 4
 QUANTILE, MARGIN, SHORT, PRIOR = 0.99, 0.5, 100.0, 50.0
@@ -143,7 +143,7 @@ def counted(trusted: DataFrame, text: str = "text") -> DataFrame:
             for grams, starts, _, n in _grams(b.column(text).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(np.add.reduceat(n, starts), pa.int64())], names=["gram", "n"])
 
-    return trusted.select(_clean(trusted, text).alias(text)).mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return trusted.select(_clean(trusted, text).alias(text)).mapInArrow(lean(run), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def level(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
@@ -230,7 +230,7 @@ def incidences(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
                         names=names,
                     )
 
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), _clean(docs, text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), _clean(docs, text).alias("_text")).mapInArrow(lean(run), schema)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +287,7 @@ def perplexities(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], kee
     found = written(costs(docs, levels, text), docs.sparkSession)
     rows = incidences(docs.select("*", length), [*keep, "_length"], text).join(small(found, COSTS), "gram", "left").select("step", "at", "texts", "counts", "cost", "row")
     row = T.StructField("row", rows.schema["row"].dataType)
-    summed = rows.mapInArrow(_summed, T.StructType([T.StructField("step", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("cost", T.LongType()), row]))
+    summed = rows.mapInArrow(lean(_summed), T.StructType([T.StructField("step", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("cost", T.LongType()), row]))
     whole = summed.groupBy("step", "at").agg(F.sum("cost").alias("_cost"), F.first("row", ignorenulls=True).alias("row"))
     return whole.select("row.*", "_cost").withColumn("perplexity", F.when(F.col("_length") > 0, F.exp(F.col("_cost") * UNIT / F.col("_length")))).drop("_cost")
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
+from vanefold.llm.common import remembered
+
 WORDS = 5
 #: Distinct words whose hash a worker remembers.
 REMEMBERED = 200_000
@@ -26,7 +28,7 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
+_hashes = remembered(_WordHashes())
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -35,7 +35,7 @@ from xxhash import xxh3_64_intdigest
 
 from vanefold.llm.anchors import KMER, anchors
 from vanefold.llm.bwt import repeated_starts
-from vanefold.llm.common import limit_batches, scratch, steps, written
+from vanefold.llm.common import lean, limit_batches, scratch, steps, written
 
 WINDOW = 200
 #: Windows whose common bytes are tested together before the merge, and bytes of a block that is merged at once.
@@ -67,7 +67,7 @@ def anchored(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
             cols += [np.concatenate([f[c] for f in found]).astype(np.int32) for c in ("first", "last", "anchor")]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
-    return keyed.select("_id", "_th", "_raw").filter(F.length("_raw") >= window).mapInArrow(run, ROWS)
+    return keyed.select("_id", "_th", "_raw").filter(F.length("_raw") >= window).mapInArrow(lean(run), ROWS)
 
 
 def _trimmed(group: list[tuple], window: int) -> list[tuple]:
@@ -134,7 +134,7 @@ def matched(contexts: DataFrame, window: int = WINDOW) -> DataFrame:
         if block:
             yield solve(block)
 
-    return sorted_.select("kmer", "context", "raw", "anchor", "n").mapInArrow(run, "kmer long, context long, runs array<int>")
+    return sorted_.select("kmer", "context", "raw", "anchor", "n").mapInArrow(lean(run), "kmer long, context long, runs array<int>")
 
 
 def _cells(raw: bytes, anchor: int, width: int, window: int) -> Iterator[tuple[int, int, int, int]]:
@@ -155,7 +155,7 @@ def dealt_out(contexts: DataFrame, window: int = WINDOW) -> DataFrame:
             found = [(k, x, c, h) for k, x, raw, a in zip(*(b.column(c).to_pylist() for c in ("kmer", "context", "raw", "anchor")), strict=True) for c, _, _, h in _cells(raw, a, CELL, window)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["kmer", "context", "cell", "mark"])
 
-    cells = written(contexts.mapInArrow(wide, "kmer long, context long, cell int, mark long"), spark)
+    cells = written(contexts.mapInArrow(lean(wide), "kmer long, context long, cell int, mark long"), spark)
     again = written(cells.groupBy("kmer", "cell", "mark").agg(F.min("context").alias("lo"), F.max("context").alias("hi")).filter("lo != hi").select("kmer", "cell", "mark"), spark)
     hit = cells.join(again, ["kmer", "cell", "mark"], "left_semi").groupBy("kmer", "context").agg(F.collect_set("cell").alias("cells"))
 
@@ -172,7 +172,7 @@ def dealt_out(contexts: DataFrame, window: int = WINDOW) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["kmer", "context", "group", "part", "raw", "anchor", "offset"])
 
-    made = contexts.join(hit, ["kmer", "context"]).select("kmer", "context", "raw", "anchor", "cells").mapInArrow(narrow, "kmer long, context long, group long, part long, raw binary, anchor int, offset int")
+    made = contexts.join(hit, ["kmer", "context"]).select("kmer", "context", "raw", "anchor", "cells").mapInArrow(lean(narrow), "kmer long, context long, group long, part long, raw binary, anchor int, offset int")
     made = written(made, spark)
     kinds = written(made.groupBy("group", "part").agg(F.count("*").alias("n"), F.first("raw").alias("raw"), F.first("anchor").alias("anchor")), spark)
     found = matched(kinds.withColumnsRenamed({"group": "kmer", "part": "context"}), window).withColumnsRenamed({"kmer": "group", "context": "part"})
@@ -271,7 +271,7 @@ def dedup_report(docs: DataFrame, window: int = WINDOW, split: int = SPLIT) -> D
                 names=[x.split()[0] for x in schema.split(", ")],
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -287,4 +287,4 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             kept = [without(r, whole_characters(r, merged_spans(s))).decode() for r, s in zip(b.column("_raw").to_pylist(), b.column("_runs").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(run, schema).select([F.col(at[c]).alias(c) for c in docs.columns])
+    return rows.mapInArrow(lean(run), schema).select([F.col(at[c]).alias(c) for c in docs.columns])

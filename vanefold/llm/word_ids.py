@@ -13,6 +13,7 @@ from array import array
 from collections.abc import Callable
 from itertools import islice
 
+from vanefold.llm.common import remembered
 from vanefold.llm.token_counts import NOT_LATIN, byte_alphabet
 
 #: Bytes, about, of the words that a worker remembers; beyond, the older half is forgotten.
@@ -79,7 +80,7 @@ class WordIds:
         return out
 
 
-_held: dict[str, WordIds] = {}
+_held: dict[str, WordIds] = remembered({})
 
 
 def word_ids(path: str) -> WordIds:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from enum import Enum
 
 from pyspark.sql import Column
@@ -43,10 +44,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row, where body would compute it for every component."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalized(v: Column) -> Column:
     """v / |v|; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return _bound(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
 
 
 def prepared(v: Column, metric: Metric) -> Column:
@@ -71,7 +76,7 @@ def int8_scale(v: Column) -> Column:
 
 def int8_codes(v: Column, scale: Column) -> Column:
     """Rounded half away from zero and clamped to 127 either way."""
-    return F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x / scale).cast("int"))))
+    return _bound(scale, lambda s: F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x / s).cast("int")))))
 
 
 def int8_values(codes: Column, scale: Column) -> Column:

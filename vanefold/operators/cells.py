@@ -7,11 +7,13 @@ least ids, so runs repeat exactly. As in the contract, the assignment returned p
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vanefold.functions.vectors import Metric, key, normalized, prepared, squared_l2
-from vanefold.operators.search import _hits, _reranked, crossed, live, top_k
+from vanefold.operators import pairs
+from vanefold.operators.search import _hits, crossed, live, scanned, top_k
 
 
 def seeds(rows: DataFrame, n: int) -> DataFrame:
@@ -57,11 +59,10 @@ def probed(queries: DataFrame, centroids: DataFrame, metric: Metric, n_probe: in
 
 
 def ivf_search(queries: DataFrame, centroids: DataFrame, rows: DataFrame, k: int, metric: Metric, n_probe: int, where: Column | str | None = None) -> DataFrame:
-    """Exact scores within the probed cells; an equi-join on the cell, broadcast while the probes are few."""
-    probes = probed(queries, centroids, metric, n_probe)
-    rows = rows if where is None else rows.filter(where)
-    met = rows.join(probes, "cell").select("query_id", "id", key(F.col("q"), F.col("v"), metric).alias("key"))
-    return _hits(top_k(met, k), metric)
+    """Exact scores within the probed cells."""
+    probes = probed(queries, centroids, metric, n_probe).groupBy("query_id").agg(F.first("q").alias("q"), F.collect_list("cell").alias("probes"))
+    rows = (rows if where is None else rows.filter(where)).select("id", "v", "cell")
+    return _hits(top_k(pairs.nearest(probes, rows, k, metric), k), metric)
 
 
 def pq_trained(rows: DataFrame, m: int, ksub: int, rounds: int, dim: int) -> list[DataFrame]:
@@ -96,11 +97,19 @@ def adc_tables(queries: DataFrame, books: list[DataFrame], metric: Metric, dim:
     return queries.withColumn("lut", F.array(*[part_keys(j, b) for j, b in enumerate(_books(books))]))
 
 
+def _adc(q: pairs.Arrays, x: pairs.Arrays, cell: int) -> np.ndarray:
+    codes = x["codes"]
+    lut = q["lut"].reshape(len(q["lut"]), codes.shape[1], -1)
+    out = np.zeros((len(lut), len(codes)))
+    for j in range(codes.shape[1]):
+        out += np.take(lut[:, j], codes[:, j], axis=1)
+    return out
+
+
 def pq_search(queries: DataFrame, encoded: DataFrame, books: list[DataFrame], k: int, metric: Metric, dim: int, oversample: int = 1, where: Column | str | None = None) -> DataFrame:
     q = adc_tables(queries.select("query_id", prepared(F.col("vector"), metric).alias("q")), books, metric, dim)
     rows = encoded if where is None else encoded.filter(where)
-    adc = F.aggregate(F.zip_with("lut", "codes", lambda t, c: F.element_at(t, c + 1)), F.lit(0.0), lambda s, x: s + x)
-    return _reranked(crossed(q, rows).select("query_id", "id", adc.alias("approx"), "q", "v"), k, oversample, metric, True)
+    return scanned(q, rows.select("id", "v", "codes"), k, oversample, metric, _adc)
 
 
 def medoid(collection: DataFrame) -> DataFrame:

@@ -5,13 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from vanefold.functions.vectors import Metric, normalized, norm
-from vanefold.operators import cells, kernels, pairs, search
+from vanefold.operators import cells, graph, kernels, pairs, search
 
 SCANS = {
     "exact": lambda q, v: search.exact(q, v, 5, Metric.COSINE),
     "int8": lambda q, v: search.int8_scan(q, v, 5, Metric.L2, 8),
     "hamming": lambda q, v: search.binary_scan(q, v, 5, Metric.COSINE, 16, 4),
     "ivf": lambda q, v: cells.ivf_search(q, *cells.ivf_built(v, Metric.COSINE, 4, 1), 5, Metric.COSINE, 3),
+    "knn_in_cells": lambda q, v: graph.knn_edges_in_cells(v, 5, Metric.COSINE, 4, 4),
 }
 
 

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vanefold.functions.vectors import Metric, key, score
+from vanefold.functions.vectors import Metric, score
+from vanefold.operators import pairs
 from vanefold.operators.kernels import centroids, distances, exact_blocks, matrix, ready, sampled
 from vanefold.operators.search import top_k
 from vanefold.sources.shared import scratch, written
@@ -164,8 +165,8 @@ def built(collection: DataFrame, k: int = 10, metric: Metric = Metric.COSINE, mi
 def knn_edges_in_cells(collection: DataFrame, k: int, metric: Metric, n_cells: int = 0, n_probe: int = 16, min_weight: float | None = None) -> DataFrame:
     """`knn_edges` through cells, for many rows: each row is compared with the rows of its n_probe best cells alone.
 
-    Centroids are fitted from a bounded sample and broadcast, rows meet in a join on the cell, and nothing passes the
-    driver. With n_probe of all cells the result is exact.
+    Centroids are fitted from a bounded sample and broadcast, rows meet by blocks of a cell (`pairs`), and nothing else
+    passes the driver. With n_probe of all cells the result is exact.
     """
     rows = ready(collection, metric)
     x = sampled(rows)
@@ -183,9 +184,8 @@ def knn_edges_in_cells(collection: DataFrame, k: int, metric: Metric, n_cells: i
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(own.argmin(1), pa.int32()), pa.array(list(probes), pa.list_(pa.int32()))], names=["id", "v", "cell", "probes"])
 
     placed = rows.mapInArrow(run, "id long, v array<double>, cell int, probes array<int>")
-    asks = placed.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.explode("probes").alias("cell"))
-    met = asks.join(placed.select("id", "v", "cell"), "cell").filter("id != query_id")
-    hits = top_k(met.select("query_id", "id", key(F.col("q"), F.col("v"), metric).alias("key")), k)
+    asks = placed.select(F.col("id").alias("query_id"), F.col("v").alias("q"), "probes")
+    hits = top_k(pairs.nearest(asks, placed.select("id", "v", "cell"), k + 1, metric).filter("query_id != id"), k)
     edges = hits.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), score(F.col("key"), metric).alias("weight"))
     return edges if min_weight is None else edges.filter(F.col("weight") >= min_weight)
 

@@ -12,6 +12,8 @@ SCANS = {
     "int8": lambda q, v: search.int8_scan(q, v, 5, Metric.L2, 8),
     "hamming": lambda q, v: search.binary_scan(q, v, 5, Metric.COSINE, 16, 4),
     "ivf": lambda q, v: cells.ivf_search(q, *cells.ivf_built(v, Metric.COSINE, 4, 1), 5, Metric.COSINE, 3),
+    "cells": lambda q, v: kernels.cell_search(q, *kernels.ivf(v, Metric.COSINE, 4, 1), 5, 4, 8),
+    "knn": lambda q, v: graph.knn_edges(v, 5, Metric.COSINE),
     "knn_in_cells": lambda q, v: graph.knn_edges_in_cells(v, 5, Metric.COSINE, 4, 4),
 }
 

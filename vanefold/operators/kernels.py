@@ -1,24 +1,25 @@
 """Scans of compressed vectors in cells by NumPy kernels over Arrow batches: RaBitQ, IVF+RaBitQ, OPQ and IVF+PQ.
 
 Models (rotation, codebooks, centroids) are fitted on the driver from at most SAMPLE rows, those with the least hashes
-of their ids; every row is encoded. A kernel gets the models and a block of at most BLOCK queries, so what a task holds
-is bounded, and gives the best rows of its batch for each query; Spark merges them. Candidates meet their exact vectors
-in a join on the id. Ids are unique, vectors are not null and of one length.
+of their ids; every row is encoded. Blocks of queries meet blocks of codes (`pairs`), so what a task holds is bounded.
+Candidates meet their exact vectors in a join on the id. Ids are unique, vectors are not null and of one length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vanefold.functions.vectors import Metric, key, prepared
-from vanefold.operators.search import BLOCK, _hits, live, recall, top_k
+from vanefold.functions.vectors import Metric, prepared
+from vanefold.operators import pairs
+from vanefold.operators.pairs import BLOCK
+from vanefold.operators.search import _hits, live, recall, scanned, top_k
 
 #: Rows from which models are fitted at most.
 SAMPLE = 50_000
@@ -125,9 +126,8 @@ class ProductCells:
     def encode(self, x: np.ndarray, cell: np.ndarray) -> list[pa.Array]:
         return [pa.array([c.tobytes() for c in self.books.encode(x - self.centroids[cell])], pa.binary())]
 
-    def keys(self, q: np.ndarray, cell: int, rows: dict[str, pa.Array]) -> np.ndarray:
-        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), dtype=np.uint8).reshape(-1, len(self.books.books))
-        x = self.books.decode(codes) + self.centroids[cell]
+    def keys(self, q: np.ndarray, cell: int, rows: pairs.Arrays) -> np.ndarray:
+        x = self.books.decode(rows["codes"]) + self.centroids[cell]
         return distances(q, x) if self.metric is Metric.L2 else -q @ x.T
 
 
@@ -146,10 +146,10 @@ class BitCells:
         coef = np.divide(sq, total, out=np.zeros_like(sq), where=total > 0)
         return [pa.array([b.tobytes() for b in np.packbits(r >= 0, axis=1)], pa.binary()), pa.array(sq), pa.array(coef), pa.array((x * c).sum(1))]
 
-    def keys(self, q: np.ndarray, cell: int, rows: dict[str, pa.Array]) -> np.ndarray:
+    def keys(self, q: np.ndarray, cell: int, rows: pairs.Arrays) -> np.ndarray:
         dim, c = q.shape[1], self.centroids[cell]
-        bits = np.unpackbits(np.frombuffer(b"".join(rows["bits"].to_pylist()), dtype=np.uint8).reshape(len(rows["bits"]), -1), axis=1)[:, :dim].astype(np.float64)
-        sq, coef, oc = (rows[f].to_numpy() for f in ("res_sq", "coef", "oc"))
+        bits = np.unpackbits(rows["bits"], axis=1)[:, :dim].astype(np.float64)
+        sq, coef, oc = (rows[f] for f in ("res_sq", "coef", "oc"))
         rest = q - c
         p = rest @ self.turn.T
         low = p.min(1, keepdims=True)
@@ -186,51 +186,21 @@ def encoded(rows: DataFrame, cells: Cells) -> DataFrame:
     return rows.mapInArrow(run, "id long, v array<double>, cell int, " + ", ".join(f"{f} {types[t]}" for f, t in cells.fields))
 
 
-def _block(rows: DataFrame, cells: Cells, ids: np.ndarray, q: np.ndarray, probes: np.ndarray, most: int) -> DataFrame:
-    names = [f for f, _ in cells.fields]
+def _probes(q: np.ndarray, centroids: np.ndarray, metric: Metric, n: int) -> np.ndarray:
+    to_cell = distances(q, centroids) if metric is Metric.L2 else -q @ centroids.T
+    return np.argsort(to_cell, axis=1, kind="stable")[:, : max(1, n)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cell, out = b.column("cell").to_numpy(), []
-            for c in np.unique(cell):
-                asks = np.flatnonzero((probes == c).any(1))
-                if not len(asks):
-                    continue
-                at = np.flatnonzero(cell == c)
-                part = b.take(pa.array(at))
-                found = cells.keys(q[asks], int(c), {f: part.column(f) for f in names})
-                own = part.column("id").to_numpy()
-                for i, row in zip(asks, found, strict=True):
-                    best = np.lexsort((own, row))[:most]
-                    out.append((np.full(len(best), ids[i]), own[best], row[best]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "id", "approx"])
-
-    return rows.mapInArrow(run, "query_id long, id long, approx double")
+
+def _cell_keys(q: pairs.Arrays, rows: pairs.Arrays, cell: int, cells: Cells) -> np.ndarray:
+    return cells.keys(q["q"], cell, rows)
 
 
 def cell_search(queries: DataFrame, rows: DataFrame, cells: Cells, k: int, n_probe: int, oversample: int = 1, where: Column | str | None = None) -> DataFrame:
     """(query_id, rank, id, score) of the best rows of the probed cells; with oversample > 1 candidates are scored exactly."""
     metric = cells.metric
     asked = queries.select("query_id", prepared(F.col("vector"), metric).alias("q"))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    found = []
-    kept = rows if where is None else rows.filter(where)
-    codes = kept.select("id", "cell", *(f for f, _ in cells.fields))
-    for i in range(blocks):
-        got = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
-        if got.num_rows:
-            q = matrix(got.column("q").combine_chunks())
-            to_cell = distances(q, cells.centroids) if metric is Metric.L2 else -q @ cells.centroids.T
-            probes = np.argsort(to_cell, axis=1, kind="stable")[:, : max(1, n_probe)]
-            found.append(_block(codes, cells, got.column("query_id").to_numpy(), q, probes, k * max(1, oversample)))
-    if not found:
-        return _hits(kept.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("key"), F.lit(0).cast("long").alias("rank")).limit(0), metric)
-    best = top_k(reduce(DataFrame.unionByName, found), k * max(1, oversample), "approx").drop("rank")
-    if oversample <= 1:
-        return _hits(top_k(best.withColumnRenamed("approx", "key"), k), metric)
-    exact = best.join(kept.select("id", "v"), "id").join(asked, "query_id").select("query_id", "id", key(F.col("q"), F.col("v"), metric).alias("key"))
-    return _hits(top_k(exact, k), metric)
+    kept = (rows if where is None else rows.filter(where)).select("id", "v", "cell", *(f for f, _ in cells.fields))
+    return scanned(asked, kept, k, oversample, metric, partial(_cell_keys, cells=cells), probes=partial(_probes, centroids=cells.centroids, metric=metric, n=n_probe))
 
 
 def widened(rows: DataFrame, cells: Cells, k: int, n_probe: int, oversample: int, target: float = TARGET) -> tuple[int, int]:
@@ -274,9 +244,9 @@ class Int8Cells:
         codes, scale, norms = self.coded(x)
         return [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(norms)]
 
-    def keys(self, q: np.ndarray, cell: int, rows: dict[str, pa.Array]) -> np.ndarray:
-        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), dtype=np.int8).reshape(len(rows["codes"]), -1).astype(np.float64)
-        scale, norms = rows["scale"].to_numpy(), rows["sqnorm"].to_numpy()
+    def keys(self, q: np.ndarray, cell: int, rows: pairs.Arrays) -> np.ndarray:
+        codes = rows["codes"].view(np.int8).astype(np.float64)
+        scale, norms = rows["scale"], rows["sqnorm"]
         qc, qs, qn = self.coded(q)
         inner = (qc.astype(np.float64) @ codes.T) * qs[:, None] * scale[None, :]
         return qn[:, None] + norms[None, :] - 2 * inner if self.metric is Metric.L2 else -inner
@@ -323,50 +293,8 @@ def opq(collection: DataFrame, metric: Metric, m: int = 16, ksub: int = 256, rou
     return encoded(rows, cells), cells
 
 
-def _best(keys: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, keys))[:k]
-
-
 def exact_blocks(queries: DataFrame, collection: DataFrame, k: int, metric: Metric, where: Column | str | None = None) -> DataFrame:
-    """The same rows as `search.exact`, for many queries: a matrix product finds what could be among the k nearest.
-
-    What is within rounding of a batch's k-th product gets its key summed component by component, in the order in which
-    the JVM sums, so keys and ties are those of `search.exact`. A task gives k rows a query. Work is queries by rows;
-    beyond some million rows, take a search through cells instead.
-    """
-    q = queries.select("query_id", prepared(F.col("vector"), metric).alias("v"))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    parts = []
-    for i in range(blocks):
-        held = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow().combine_chunks()
-        ids, x = held.column("query_id").to_numpy(), matrix(held.column("v").combine_chunks()) if held.num_rows else np.zeros((0, 0))
-        parts.append(ready(collection, metric, where).mapInArrow(_scanner(queries.sparkSession.sparkContext.broadcast((ids, x)), k, metric), "query_id long, id long, key double"))
-    return _hits(top_k(reduce(DataFrame.unionByName, parts), k), metric)
-
-
-def _scanner(block, k: int, metric: Metric):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = block.value
-        best = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in ids]
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            x, own = matrix(b.column("v")), b.column("id").to_numpy()
-            rough = distances(q, x) if metric is Metric.L2 else -q @ x.T
-            slack = 1e-9 * (1 + np.sqrt((q * q).sum(1)) + np.sqrt((x * x).sum(1).max())) ** 2
-            limit = np.partition(rough, min(k, len(own)) - 1, axis=1)[:, min(k, len(own)) - 1] + slack
-            at, row = np.nonzero(rough <= limit[:, None])
-            keys = np.zeros(len(at))
-            for j in range(q.shape[1]):
-                keys += (q[at, j] - x[row, j]) ** 2 if metric is Metric.L2 else q[at, j] * x[row, j]
-            keys = keys if metric is Metric.L2 else -keys
-            cuts = np.searchsorted(at, np.arange(len(ids) + 1))
-            for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                both, names = np.concatenate([best[i][0], keys[lo:hi]]), np.concatenate([best[i][1], own[row[lo:hi]]])
-                first = _best(both, names, k)
-                best[i] = (both[first], names[first])
-        n = [len(x) for x, _ in best]
-        if sum(n):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(np.concatenate([i for _, i in best]), pa.int64()), pa.array(np.concatenate([x for x, _ in best]))], names=["query_id", "id", "key"])
-
-    return run
+    """The same rows as `search.exact`, for many queries. Work is queries by rows; beyond some million rows, take a search
+    through cells instead."""
+    q = queries.select("query_id", prepared(F.col("vector"), metric).alias("q"))
+    return _hits(top_k(pairs.nearest(q, ready(collection, metric, where), k, metric, BLOCK), k), metric)

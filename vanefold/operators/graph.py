@@ -29,9 +29,10 @@ def knn_edges(collection: DataFrame, k: int, metric: Metric, min_weight: float |
 
 
 def mutual(edges: DataFrame) -> DataFrame:
-    """The edges whose reverse is there too."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return edges.join(back, ["src", "dst"], "left_semi")
+    """The edges whose reverse is there too; both meet in a group of their ends, so edges are made once."""
+    ends = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
+    met = edges.groupBy(*ends).agg(F.collect_list(F.struct(*edges.columns)).alias("e"), F.count_distinct("src").alias("n"))
+    return met.filter((F.col("n") == 2) | (F.col("a") == F.col("b"))).select(F.inline("e"))
 
 
 def merged(edges: DataFrame, links: DataFrame, ids: DataFrame, link_weight: float = 1.0) -> DataFrame:

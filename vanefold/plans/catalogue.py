@@ -14,7 +14,7 @@ from vanefold.functions.vectors import Metric, doubles, int8_values, normalized,
 from vanefold.operators import cells, graph, guided, kernels, layered, proximity, search, sequential
 from vanefold.operators.classify import TagClassifier
 from vanefold.sources import store
-from vanefold.sources.shared import shared_folder
+from vanefold.sources.shared import scratch, shared_folder, written
 
 DIM, K = 64, 10
 #: What the plain approximate searches probe (of 8 cells) and rerank (times K), so that recall stays above 0.9 on 2,000 rows.
@@ -49,11 +49,12 @@ def _searcher(f: Callable, scaled: bool = False) -> Callable[[SparkSession, str]
 
 
 def _graph(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
-    """f(edges, vectors): with the kNN graph (k = 5) merged with the links."""
+    """f(edges, vectors): with the kNN graph (k = 5) merged with the links, built once however often f reads it."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         v = vectors(spark, d)
-        return f(graph.merged(graph.knn_edges(v, 5, COS), links(v), v), v)
+        with scratch(spark) as out:
+            return out(f(written(graph.merged(graph.knn_edges(v, 5, COS), links(v), v), spark), v))
 
     return run
 

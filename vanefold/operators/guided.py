@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vanefold.functions.vectors import Metric, prepared
 from vanefold.operators.kernels import SAMPLE, Codebooks, matrix, ready, sampled
-from vanefold.operators.proximity import SHARD, _linked, _walk
+from vanefold.operators.proximity import SHARD, _linked, _scanned, _walk
 from vanefold.operators.search import BLOCK, _hits, top_k
 
 GRAPH = "shard int, id long, v array<double>, place int, links array<int>, start int, codes binary"
@@ -87,11 +87,14 @@ def _walker(held, k: int, metric: Metric, ef: int):
         links, start, found = [list(n) for n in frame["links"]], int(frame["start"].iloc[0]), []
         for query, q in zip(ids, queries, strict=True):
             wide = max(ef, k)
-            while True:
+            while wide < len(x):
                 met = np.array([n for _, n in _walk(x, links, start, q, wide, Metric.L2) if passes[n]], dtype=np.int64)
-                if len(met) >= k or wide >= len(x):
+                if len(met) >= k:
                     break
                 wide *= 2
+            else:
+                found += [(query, n, key) for key, n in _scanned(exact, own, passes, q, k, metric)]
+                continue
             keys = ((exact[met] - q) ** 2).sum(1) if metric is Metric.L2 else -(exact[met] @ q)
             best = np.lexsort((own[met], keys))[:k]
             found += zip([query] * len(best), own[met][best].tolist(), keys[best].tolist(), strict=True)

@@ -25,7 +25,7 @@ from xxhash import xxh3_64_intdigest
 
 from vanefold.functions.vectors import Metric, prepared
 from vanefold.operators.kernels import Int8Cells, matrix, ready
-from vanefold.operators.proximity import _thinned, _walk
+from vanefold.operators.proximity import _scanned, _thinned, _walk
 from vanefold.operators.search import BLOCK, _hits, top_k
 
 #: Rows of one shard on average.
@@ -144,15 +144,17 @@ def _walker(held, k: int, metric: Metric, ef: int, int8: bool, rerank: bool):
         upper = [[row[i] if len(row) > i else [] for row in layers] for i in range(1, max(map(len, layers)))]
         found = []
         for query, vector, coded in zip(*held.value, strict=True):
-            at = entry
-            for links in reversed(upper):
+            at, wide = entry, max(ef, k)
+            for links in reversed(upper) if wide < len(x) else ():
                 at = _nearest(x, links, at, coded)
-            wide = max(ef, k)
-            while True:
+            while wide < len(x):
                 met = [(key, n) for key, n in _walk(x, lowest, at, coded, wide, metric) if passes[n]]
-                if len(met) >= k or wide >= len(x):
+                if len(met) >= k:
                     break
                 wide *= 2
+            else:
+                found += [(query, n, key) for key, n in (_scanned(exact, own, passes, vector, k, metric) if rerank or not int8 else _scanned(x, own, passes, coded, k, metric))]
+                continue
             if int8 and rerank and met:
                 places = [n for _, n in met]
                 keys = ((exact[places] - vector) ** 2).sum(1) if metric is Metric.L2 else -(exact[places] @ vector)

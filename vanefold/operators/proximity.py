@@ -4,7 +4,7 @@ The shard of a row is a hash of its id, so one with at most SHARD rows is built
 collection, and a lost executor costs its shards alone. A graph is flat: each row is linked with the nearest rows found
 so far, thinned by the rule that a link is kept where no kept one is nearer to its end by the factor alpha, and links
 go both ways within `degree`. A beam of `ef` rows walks it from the row nearest to the mean. With ef of at least the
-shard's size every row is reached, and results equal exact search. Deleted rows are left out at build time. Links are
+shard's size the shard is scanned, which is what such a walk would meet, and results equal exact search. Deleted rows are left out at build time. Links are
 chosen by squared L2, scores are exact in the metric.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from vanefold.functions.vectors import Metric, prepared
 from vanefold.operators.kernels import matrix, ready
+from vanefold.operators.pairs import _summed
 from vanefold.operators.search import BLOCK, _hits, top_k
 
 #: Rows of one shard on average.
@@ -62,6 +63,17 @@ def _walk(x: np.ndarray, links: list[list[int]], start: int, q: np.ndarray, ef:
     return sorted((-k, -n) for k, n in best)
 
 
+def _scanned(x: np.ndarray, own: np.ndarray, passes: np.ndarray, q: np.ndarray, k: int, metric: Metric) -> list[tuple[float, int]]:
+    """(key, id) of the k best of all rows that pass, best first: what a walk with a beam as wide as the shard would meet."""
+    rough = (x * x).sum(1) - 2 * (x @ q) + q @ q if metric is Metric.L2 else -(x @ q)
+    at = np.flatnonzero(passes)
+    if len(at) > k:
+        near = rough[at]
+        at = at[near <= np.partition(near, k - 1)[k - 1] + 1e-11 * (np.sqrt(q @ q) + np.sqrt((x * x).sum(1).max())) ** 2]
+    keys = _summed(q[None, :], x, np.zeros(len(at), dtype=np.int64), at, metric)
+    return [(float(keys[i]), int(own[at[i]])) for i in np.lexsort((own[at], keys))[:k]]
+
+
 def _linked(x: np.ndarray, degree: int, ef: int, alpha: float) -> tuple[list[list[int]], int]:
     links: list[list[int]] = [[] for _ in range(len(x))]
     start = int(((x - x.mean(0)) ** 2).sum(1).argmin())
@@ -107,11 +119,13 @@ def _block(graph: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metric: Met
         links, start, found = [list(n) for n in frame["links"]], int(frame["start"].iloc[0]), []
         for query, vector in zip(ids, q, strict=True):
             wide = max(ef, k)
-            while True:
+            while wide < len(x):
                 met = [(key, own[n]) for key, n in _walk(x, links, start, vector, wide, metric) if passes[n]]
-                if len(met) >= k or wide >= len(x):
+                if len(met) >= k:
                     break
                 wide *= 2
+            else:
+                met = _scanned(x, own, passes, vector, k, metric)
             found += [(query, n, key) for key, n in met[:k]]
         return pd.DataFrame(found, columns=["query_id", "id", "key"])
 

@@ -20,6 +20,7 @@ from vanefold.functions.vectors import Metric, prepared
 from vanefold.operators import pairs
 from vanefold.operators.pairs import BLOCK
 from vanefold.operators.search import _hits, live, recall, scanned, top_k
+from vanefold.sources.shared import cleaned
 
 #: Rows from which models are fitted at most.
 SAMPLE = 50_000
@@ -218,7 +219,9 @@ def widened(rows: DataFrame, cells: Cells, k: int, n_probe: int, oversample: int
     truth = truth.sparkSession.createDataFrame(truth.toArrow())  # at most MEASURED * (k + 1) rows
     while n_probe < len(cells.centroids) or k * oversample < n:
         got = cell_search(asks, rows, cells, k + 1, n_probe, oversample).filter("query_id != id")
-        if recall(got, truth).first()[0] >= target:
+        with cleaned(asks.sparkSession):
+            reached = recall(got, truth).first()[0]
+        if reached >= target:
             break
         n_probe, oversample = min(2 * n_probe, len(cells.centroids)), 2 * oversample
     return n_probe, oversample

@@ -32,17 +32,24 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _open: list[list[str]] = []
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, spark: SparkSession) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends there, and a lost executor takes nothing with it."""
     path = shared_folder(spark)
     if _open:
         _open[-1].append(path)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
